@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing
 from .common import table
+from .packing import op3_best_fit_packing
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -12,7 +13,7 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op10_mix_sources": op10_mix_sources}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict:
