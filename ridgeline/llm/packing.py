@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 
@@ -17,6 +18,8 @@ END_ID = 2
 #: Parts of each length over which ranks are counted, so that no length meets in one task.
 RANK_PARTS = 256
 
+_MET = re.compile(r"\s\s").search
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,12 +70,16 @@ class Encoder:
         merged = [ranks.get(bytes(byte_of[c] for c in "".join(pair.split(" ") if isinstance(pair, str) else pair))) for pair in held["model"]["merges"]]
         if not single <= ranks.keys() or any(a is None or b is None or a >= b for a, b in zip(merged, merged[1:])):
             return None
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+        # Where no two white spaces meet, the branch that looks ahead is not needed.
+        self.single = tiktoken.Encoding("file-single", pat_str=pattern + r"\s", mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("file", pat_str=pattern + r"\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list:
         if self.fast is None or any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
+        if not _MET(text):
+            return self.single.encode_ordinary(text)
         return self.fast.encode_ordinary(text)
 
 

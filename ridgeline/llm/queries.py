@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from . import mixing
 from .common import table
+from .license_scan import op7_license_scan
 from .packing import op3_best_fit_packing
+from .secret_scan import op9_secret_scan
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -13,7 +15,12 @@ def op10_mix_sources(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op10_mix_sources": op10_mix_sources}
+    return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op7_license_scan": op7_license_scan,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict:
