@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc_fixity
+from .classifier import op8_quality_classifier
 from .common import table
 from .license_scan import op7_license_scan
+from .line_quality import op4_line_quality
 from .packing import op3_best_fit_packing
 from .secret_scan import op9_secret_scan
+from .warc_fixity import op5_merkle_fixity
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -17,11 +20,14 @@ def op10_mix_sources(spark, sf_dir):
 def queries() -> dict:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_line_quality": op4_line_quality,
+        "op5_merkle_fixity": op5_merkle_fixity,
         "op7_license_scan": op7_license_scan,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_secret_scan": op9_secret_scan,
         "op10_mix_sources": op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op5_merkle_fixity": warc_fixity.ORACLE, "op10_mix_sources": mixing.ORACLE}
