@@ -8,6 +8,7 @@ from .common import table
 from .license_scan import op7_license_scan
 from .line_quality import op4_line_quality
 from .packing import op3_best_fit_packing
+from .pii import op6_pii_spans
 from .secret_scan import op9_secret_scan
 from .warc_fixity import op5_merkle_fixity
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_quality": op4_line_quality,
         "op5_merkle_fixity": op5_merkle_fixity,
+        "op6_pii_spans": op6_pii_spans,
         "op7_license_scan": op7_license_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_secret_scan": op9_secret_scan,
