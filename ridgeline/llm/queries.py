@@ -7,6 +7,7 @@ from .classifier import op8_quality_classifier
 from .common import table
 from .license_scan import op7_license_scan
 from .line_quality import op4_line_quality
+from .near_dedup import op2_minhash_dedup
 from .packing import op3_best_fit_packing
 from .pii import op6_pii_spans
 from .secret_scan import op9_secret_scan
@@ -20,6 +21,7 @@ def op10_mix_sources(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op2_minhash_dedup": op2_minhash_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_quality": op4_line_quality,
         "op5_merkle_fixity": op5_merkle_fixity,
