@@ -64,15 +64,21 @@ def range_splits(df: DataFrame, column: str, parts: int) -> list:
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(F.col(column), F.array(*[F.lit(x) for x in at]), F.lit(max(10_000, 20 * parts))).alias("q")).head()
+    points = F.split(F.lit(",".join(map(str, at))), ",").cast("array<double>")
+    got = df.agg(F.percentile_approx(F.col(column), points, F.lit(max(10_000, 10 * parts))).alias("q")).head()
     return sorted({x for x in (got.q if got and got.q else []) if x is not None})
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once; in a lambda a plain column would be computed at every use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bucket_of(value: Column, splits: list) -> Column:
     """The number of splits at most the value, by binary search; nulls go to -1."""
     if not splits:
         return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    table = F.array(*[F.lit(x) for x in splits])
+    table = F.split(F.lit(",".join(str(int(x)) for x in splits)), ",").cast("array<bigint>")
     steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
 
     def step(pos: Column, width: Column) -> Column:

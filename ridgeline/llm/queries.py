@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, warc_fixity
 from .classifier import op8_quality_classifier
 from .common import table
+from .fingerprints import op1_iblt_fingerprints
 from .license_scan import op7_license_scan
 from .line_quality import op4_line_quality
 from .near_dedup import op2_minhash_dedup
@@ -21,6 +22,7 @@ def op10_mix_sources(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_iblt_fingerprints": op1_iblt_fingerprints,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_quality": op4_line_quality,
