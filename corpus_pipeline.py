@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import line_quality, mixing, near_dedup, packing, pii
-from ridgeline.llm.common import materialize, table
+from ridgeline.llm.common import fixed, materialize, table
 
 
 def _with_text(docs: DataFrame, text, columns: list) -> DataFrame:
     """The same columns with another text and its number of characters."""
-    new = docs.withColumn("_text", text)
-    fixed = {"text": F.col("_text").alias("text"), "n_chars": F.char_length("_text").cast("long").alias("n_chars")}
-    return new.select(*[fixed.get(c, F.col(c)) for c in columns])
+    new = fixed(docs, {"_text": text})
+    changed = {"text": F.col("_text").alias("text"), "n_chars": F.char_length("_text").cast("long").alias("n_chars")}
+    return new.select(*[changed.get(c, F.col(c)) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

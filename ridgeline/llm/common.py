@@ -74,6 +74,16 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fixed(df: DataFrame, columns: dict) -> DataFrame:
+    """Adds columns that are computed once, whatever uses and filters follow.
+
+    Filters are pushed below plain projections, and expressions are then computed
+    again or, in a lambda, for every element; nothing is pushed below a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def bucket_of(value: Column, splits: list) -> Column:
     """The number of splits at most the value, by binary search; nulls go to -1."""
     if not splits:

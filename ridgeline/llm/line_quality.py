@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, bound, fixed, table, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -34,16 +34,6 @@ DEFAULTS = {
 }
 
 
-def _count(text: Column, keep: str) -> Column:
-    """Characters of a text within the class of characters keep."""
-    return F.char_length(F.regexp_replace(text, f"[^{keep}]+", ""))
-
-
-def bound(value: Column, use) -> Column:
-    """use(value), with value computed once; in a lambda a plain column would be computed at every use."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def line_fails(line: Column, p: dict) -> Column:
     """Whether a line fails a rule: punctuation, navigation or boilerplate. Blank lines pass."""
     tidy = F.concat(F.lit(" "), F.regexp_replace(line, f"[{SPACE}]+", "  "), F.lit(" "))
@@ -118,17 +108,23 @@ def judge(docs: DataFrame, **parameters) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = F.regexp_replace(text, f"[{SPACE}]+", "")
     has_word = F.lit(f"[^{SPACE}]")
-    d = docs.withColumn("_words", words(F.col("text")))
-    d = d.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_repeat_words", repeat_words(F.col("_words"))).drop("_words")
-    d = d.withColumn("word_chars", F.char_length(solid).cast("long")).withColumn("n_symbols", _count(text, "#*$%&|<>").cast("long"))
-    d = d.withColumn("_lines", F.split(text, "\n"))
+    d = fixed(docs, {"_words": words(F.col("text")), "_lines": F.split(text, "\n")})
     full = F.filter("_lines", lambda x: F.regexp_like(x, has_word))
-    d = d.withColumn("n_dup_lines", (F.size(full) - F.size(F.array_distinct(full))).cast("long"))
-    d = d.withColumn("_bad", F.filter("_lines", lambda x: line_fails(x, p)))
-    d = d.withColumn("lost_chars", F.char_length(F.regexp_replace(F.array_join("_bad", ""), f"[{SPACE}]+", "")).cast("long"))
-    d = d.withColumn("n_bad_lines", F.size("_bad").cast("long"))
+    d = fixed(
+        d,
+        {
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.char_length(solid).cast("long"),
+            "n_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
+            "n_dup_lines": bound(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "n_repeat_words": repeat_words(F.col("_words")),
+            "_bad": F.filter("_lines", lambda x: line_fails(x, p)),
+        },
+    )
     # Equal lines have equal verdicts, so removing by value removes the failed lines.
-    d = d.withColumn("clean_text", F.when(F.col("n_bad_lines") == 0, text).otherwise(F.array_join(F.filter("_lines", lambda x: ~F.array_contains("_bad", x)), "\n")))
+    clean = F.when(F.size("_bad") == 0, text).otherwise(F.array_join(F.filter("_lines", lambda x: ~F.array_contains("_bad", x)), "\n"))
+    lost = F.char_length(F.regexp_replace(F.array_join("_bad", ""), f"[{SPACE}]+", ""))
+    d = fixed(d, {"n_bad_lines": F.size("_bad").cast("long"), "lost_chars": lost.cast("long"), "clean_text": clean})
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= p["lost_percent"] * F.col("word_chars"))
     return d.withColumn("kept", kept).select(*docs.columns, *added)

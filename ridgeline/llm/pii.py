@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classifier import Model, train
-from .common import table
+from .common import bound, fixed, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -60,11 +60,6 @@ PRECISION = 0.97
 EXAMPLES = 2400
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]+", "")
 
@@ -261,15 +256,13 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c in added or c.startswith("_pii")])
     model, thresholds = fitted(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs
-    for kind in KINDS:
-        d = d.withColumn(f"_pii_{kind}", F.filter(places(text, BASE[kind], GATES[kind]), _validator(kind)))
-        d = d.withColumn(f"n_{kind}", F.size(f"_pii_{kind}").cast("long"))
+    d = fixed(docs, {f"_pii_{kind}": F.filter(places(text, BASE[kind], GATES[kind]), _validator(kind)) for kind in KINDS})
     spans = [F.transform(f"_pii_{kind}", _named(i, kind)) for i, kind in enumerate(KINDS)]
-    d = d.withColumn("base_spans", F.array_sort(F.transform(F.concat(*spans), _span)))
+    counts = {f"n_{kind}": F.size(f"_pii_{kind}").cast("long") for kind in KINDS}
+    d = fixed(d, {"base_spans": F.array_sort(F.transform(F.concat(*spans), _span)), **counts})
     candidate = [F.transform(places(text, pattern, GENERATOR_GATE), _named(len(KINDS) + i, g)) for i, (g, pattern) in enumerate(GENERATORS.items())]
-    d = d.withColumn("_pii_candidates", F.concat(*candidate))
-    d = d.withColumn("_pii_candidates", F.filter("_pii_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    d = fixed(d, {"_pii_candidates": F.concat(*candidate)})
+    d = fixed(d, {"_pii_candidates": F.filter("_pii_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))})
     limit = F.create_map(*[F.lit(v) for g in GENERATORS for v in (g, thresholds[g])])
 
     def scored(c: Column) -> Column:
@@ -277,16 +270,16 @@ def find(docs: DataFrame) -> DataFrame:
         p = bound(features(c["kind"], c["s"], before), lambda x: score(x, model))
         return F.struct((-p).alias("p"), c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
 
-    d = d.withColumn("_pii_chosen", F.when(F.size("_pii_candidates") > 0, F.array_sort(F.transform("_pii_candidates", scored))))
-    d = d.withColumn("_pii_chosen", F.filter("_pii_chosen", lambda c: -c["p"] >= F.element_at(limit, c["kind"])))
+    d = fixed(d, {"_pii_chosen": F.when(F.size("_pii_candidates") > 0, F.array_sort(F.transform("_pii_candidates", scored)))})
+    d = fixed(d, {"_pii_chosen": F.filter("_pii_chosen", lambda c: -c["p"] >= F.element_at(limit, c["kind"]))})
     none = F.array().cast(_SPAN)
 
     def take(acc: Column, c: Column) -> Column:
         span = F.array(_span(c)).cast(_SPAN)
         return F.when(F.exists(acc, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), acc).otherwise(F.concat(acc, span))
 
-    d = d.withColumn("_pii_more", F.when(F.size("_pii_chosen") > 0, F.aggregate("_pii_chosen", none, take)).otherwise(none))
-    d = d.withColumn("all_spans", F.array_sort(F.concat("base_spans", "_pii_more")))
+    more = F.when(F.size("_pii_chosen") > 0, F.aggregate("_pii_chosen", none, take)).otherwise(none)
+    d = fixed(d, {"all_spans": F.array_sort(F.concat("base_spans", more))})
     return d.select(*docs.columns, *added)
 
 
