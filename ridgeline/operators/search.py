@@ -149,18 +149,13 @@ def relative_cut(scored: DataFrame, width: float = 0.15) -> DataFrame:
 def facets(facts: DataFrame, top: int = 8) -> DataFrame:
     """Entities, predicates of events, roles and windows by count: facet, item, n, rank. Ties: first seen."""
     seen = F.struct("t0", "fact_id")
-    rows = facts.select(
-        seen.alias("seen"),
-        F.inline(
-            F.array_compact(
-                F.array(
-                    F.struct(F.lit("entity").alias("facet"), F.col("agent").alias("item")), F.struct(F.lit("entity"), F.col("object")),
-                    F.when(F.col("kind") == "event", F.struct(F.lit("predicate"), F.col("predicate"))),
-                    F.struct(F.lit("role"), F.lit("agent")), F.struct(F.lit("role"), F.lit("patient")), F.struct(F.lit("window"), F.concat(F.lit("W"), F.col("win").cast("string"))),
-                )
-            )
-        ),
-    )
+
+    def item(facet: str, value) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), value.alias("item"))
+
+    items = [item("entity", F.col("agent")), item("entity", F.col("object")), F.when(F.col("kind") == "event", item("predicate", F.col("predicate")))]
+    items += [item("role", F.lit("agent")), item("role", F.lit("patient")), item("window", F.concat(F.lit("W"), F.col("win").cast("string")))]
+    rows = facts.select(seen.alias("seen"), F.inline(F.array_compact(F.array(*items))))
     counted = rows.groupBy("facet", "item").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "seen", "item"))
     return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("facet", "item", "n", "rank")

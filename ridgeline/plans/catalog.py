@@ -1,11 +1,23 @@
-"""The registry of queries and of their SQL counterparts."""
+"""The registry of queries and of their SQL counterparts.
+
+Modules of this package list rows (name, function, SQL); SQL is None where the
+operator can't be put in it.
+"""
 
 from __future__ import annotations
 
+from . import evaluation, evidence, language, linking, retrieval, streams
+
+_MODULES = (retrieval, evidence, linking, language, evaluation, streams)
+
+
+def _rows() -> list:
+    return [row for m in _MODULES for row in m.QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: function for name, function, _ in _rows()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, _, sql in _rows() if sql}
