@@ -1 +1,117 @@
-QUERIES = []
+"""Queries of text functions: terms, keys, spellings, names, numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..sources.adapters import UTTERANCES, read, utterances
+
+
+def alignment_terms(spark, sf_dir):
+    return utterances(spark, sf_dir).select("utterance_id", F.array_join(text.alignment_terms(F.col("text")), " ").alias("terms"))
+
+
+def phonetic_key(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("token", text.phonetic_key(F.col("token")).alias("key"))
+
+
+def _tokens(spark, sf_dir):
+    """Distinct capitalised Latin words of the conversations."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+    return utterances(spark, sf_dir).select(found.alias("token")).where(F.col("token").rlike("^[A-Z][a-z]{3,}$")).distinct()
+
+
+def fuzzy_spelling(spark, sf_dir):
+    """For each word the nearest other word of the same first letter and length, by edit distance, then order."""
+    words = _tokens(spark, sf_dir).withColumn("k", F.concat(F.substring("token", 1, 1), F.char_length("token").cast("string")))
+    pairs = words.join(words.select(F.col("token").alias("other"), "k"), "k").where("token <> other").withColumn("distance", F.levenshtein("token", "other").cast("long"))
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("distance", "other"))
+    return pairs.withColumn("_r", rank).where("_r = 1 AND distance <= 2").select("token", "other", "distance")
+
+
+def identifiers(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("vest No. 0"), F.col("doc_id").cast("string"), F.lit(" and number 007, # 12 "), F.substring("text", 1, 200)).alias("t"))
+    return d.select("doc_id", F.array_join(text.identifiers(F.col("t")), ",").alias("ids"))
+
+
+def parsed_times(spark, sf_dir):
+    """Turns written as h:mm:ss, mm:ss or seconds, and read again."""
+    n = F.col("doc_id")
+    written = F.when(n % 3 == 0, F.concat_ws(":", F.lit("1"), (n % 60).cast("string"), F.lit("05"))).when(n % 3 == 1, F.concat_ws(":", (n % 60).cast("string"), F.lit("30.5"))).otherwise(F.lit("x"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.parse_time(written).alias("seconds"), text.mmss((n * 7).cast("double")).alias("shown"))
+
+
+def norm_phrases(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(text.norm_phrase(F.col("text")).cast("binary")).alias("digest"))
+
+
+def person_name_shape(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Anna Lee "), "c_mktsegment")).otherwise(F.col("c_name")).alias("name"))
+    return c.select("key", "name", text.is_person_name(F.col("name")).alias("is_name"))
+
+
+def retrieval_text(spark, sf_dir):
+    """Non-empty parts joined and cut."""
+    p = read(spark, sf_dir, "part")
+    parts = F.filter(F.array("p_name", F.when(F.col("p_size") > 25, F.lit("")).otherwise(F.col("p_brand")), "p_type"), lambda x: x != "")
+    return p.select("p_partkey", F.substring(F.array_join(parts, " ; "), 1, 40).alias("text"))
+
+
+def embedding_cache_misses(spark, sf_dir):
+    """Texts by digest that a cache of every third document lacks, with how many share them."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("key"))
+    cache = d.where("doc_id % 3 = 0").select("key").distinct()
+    return d.join(cache, "key", "left_anti").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+def named_mentions(spark, sf_dir):
+    """Two-word names of a conversation with their place and how often they occur up to there."""
+    u = utterances(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1))).alias("place", "name"))
+    w = Window.partitionBy("conv_id", "name").orderBy("turn", "place")
+    return u.select("conv_id", "turn", F.col("place").cast("long").alias("place"), "name", F.row_number().over(w).cast("long").alias("nth"))
+
+
+def name_registry(spark, sf_dir):
+    """First words of turns as names of their speaker: kept where a speaker has one name only, by lower case."""
+    u = utterances(spark, sf_dir).select("speaker", F.regexp_extract("text", r"^([A-Za-z]+)", 1).alias("name"), "turn").where("name <> ''")
+    n = F.size(F.collect_set(F.lower("name")).over(Window.partitionBy("speaker")))
+    return u.withColumn("n", n).where("n = 1").groupBy("speaker").agg(F.min("name").alias("name"), F.count("*").alias("mentions"))
+
+
+def caption_name_match(spark, sf_dir):
+    """Captions that state the name of the nation they are about."""
+    n = read(spark, sf_dir, "nation")
+    caption = F.concat(F.lit("This is "), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lit("nobody")), F.lit("."))
+    escaped = F.regexp_replace("n_name", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    return n.select("n_nationkey", F.regexp_like(caption, F.concat(F.lit(r"(?i)\bis "), escaped, F.lit(r"\b"))).alias("named"))
+
+
+def verdict_contradictions(spark, sf_dir):
+    """Reviews whose words deny what their verdict says."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.lit("clearly a different person")).when(F.col("item_id") % 3 == 1, F.lit("the same person, no doubt")).otherwise(F.col("text")).alias("reason"), F.when(F.col("item_id") % 2 == 0, F.lit("supported")).otherwise(F.lit("contradicted")).alias("verdict"))
+    deny = F.when((F.col("verdict") == "supported") & F.col("reason").rlike(r"(?i)\bdifferent\b"), "denies").when((F.col("verdict") == "contradicted") & F.col("reason").rlike(r"(?i)\bsame\b"), "affirms").otherwise("agrees")
+    return b.select("item_id", deny.alias("finding"))
+
+
+_TOKENS = f"WITH {UTTERANCES}, every AS (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS token FROM utterances_v), tok AS (SELECT DISTINCT token FROM every WHERE regexp_matches(token, '^[A-Z][a-z]{{3,}}$'))"
+_STOP = "('that', 'this', 'with', 'from', 'have', 'they', 'there', 'then', 'were', 'what', 'when')"
+
+QUERIES = [
+    ("alignment_terms", alignment_terms, f"""WITH {UTTERANCES}, w AS (SELECT utterance_id, unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS w FROM utterances_v),
+k AS (SELECT DISTINCT utterance_id, CASE WHEN length(w) > 4 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM w WHERE length(w) >= 4 AND w NOT IN {_STOP})
+SELECT utterance_id, coalesce(array_to_string(list_sort(list(k.w) FILTER (k.w IS NOT NULL)), ' '), '') AS terms FROM utterances_v LEFT JOIN k USING (utterance_id) GROUP BY 1"""),
+    ("phonetic_key", phonetic_key, None),
+    ("fuzzy_spelling", fuzzy_spelling, _TOKENS + ", p AS (SELECT a.token, b.token AS other, levenshtein(a.token, b.token) AS distance FROM tok a JOIN tok b ON a.token[1] = b.token[1] AND length(a.token) = length(b.token) AND a.token <> b.token) SELECT token, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, other) AS r FROM p) WHERE r = 1 AND distance <= 2"),
+    ("identifiers", identifiers, None),
+    ("parsed_times", parsed_times, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3600.0::DOUBLE + (doc_id % 60) * 60 + 5 WHEN doc_id % 3 = 1 THEN (doc_id % 60) * 60 + 30.5::DOUBLE END AS seconds, ((doc_id * 7) // 60) || ':' || lpad(CAST((doc_id * 7) % 60 AS VARCHAR), 2, '0') || '.0' AS shown FROM documents"),
+    ("norm_phrases", norm_phrases, "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'"),
+    ("person_name_shape", person_name_shape, "WITH c AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'Anna Lee ' || c_mktsegment ELSE c_name END AS name FROM customer) SELECT key, name, length(name) <= 48 AND regexp_matches(name, '^\\p{L}+([''’-]\\p{L}+)*( \\p{L}+([''’-]\\p{L}+)*){0,3}$') AS is_name FROM c"),
+    ("retrieval_text", retrieval_text, "SELECT p_partkey, substr(p_name || CASE WHEN p_size > 25 THEN '' ELSE ' ; ' || p_brand END || ' ; ' || p_type, 1, 40) AS text FROM part"),
+    ("embedding_cache_misses", embedding_cache_misses, "WITH d AS (SELECT doc_id, sha1(text) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d WHERE key NOT IN (SELECT key FROM d WHERE doc_id % 3 = 0) GROUP BY 1"),
+    ("named_mentions", named_mentions, None),
+    ("name_registry", name_registry, f"WITH {UTTERANCES}, n AS (SELECT speaker, regexp_extract(text, '^([A-Za-z]+)', 1) AS name FROM utterances_v) SELECT speaker, min(name) AS name, count(*) AS mentions FROM n WHERE name <> '' GROUP BY 1 HAVING count(DISTINCT lower(name)) = 1"),
+    ("caption_name_match", caption_name_match, "SELECT n_nationkey, n_nationkey % 2 = 0 AS named FROM nation"),
+    ("verdict_contradictions", verdict_contradictions, "SELECT item_id, CASE WHEN item_id % 2 = 0 AND (item_id % 3 = 0 OR (item_id % 3 = 2 AND regexp_matches(text, '(?i)\\bdifferent\\b'))) THEN 'denies' WHEN item_id % 2 = 1 AND (item_id % 3 = 1 OR (item_id % 3 = 2 AND regexp_matches(text, '(?i)\\bsame\\b'))) THEN 'affirms' ELSE 'agrees' END AS finding FROM benchmark"),
+]
