@@ -6,9 +6,9 @@ operator can't be put in it.
 
 from __future__ import annotations
 
-from . import evaluation, evidence, language, linking, retrieval, streams
+from . import auditing, evaluation, evidence, language, linking, retrieval, streams
 
-_MODULES = (retrieval, evidence, linking, language, evaluation, streams)
+_MODULES = (retrieval, evidence, linking, auditing, language, evaluation, streams)
 
 
 def _rows() -> list:
