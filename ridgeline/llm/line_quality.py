@@ -134,3 +134,36 @@ def op4_line_quality(spark, sf_dir):
     """Quality rules over every whole document."""
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "lost_chars")
+
+
+def _oracle() -> str:
+    """The same rules as DuckDB SQL, from the same lists and limits."""
+    p, ws = DEFAULTS, "[\\x20\\x09-\\x0D]+"
+    count = lambda pattern, x="x": f"len(regexp_extract_all({x}, '{pattern}'))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {WINDOW - 2})) u(i)),
+dup AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM dup, unnest(range(i, i + {WINDOW})) v(j) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+x AS (SELECT r, line, regexp_replace(line, '{ws}', '', 'g') AS s, ' ' || regexp_replace(line, '{ws}', '  ', 'g') || ' ' AS x FROM l),
+y AS (SELECT *, len(string_split(x, '  ')) AS n, length(replace(x, ' ', '')) AS solid, lower(x) AS lo FROM x),
+bad AS (SELECT r, count(*) AS n, sum(length(s)) AS lost FROM y WHERE solid > 0 AND (
+    100 * {count('[#*$%&|<>]')} > {p['symbol_percent']} * solid
+    OR 100 * {count(' [|>»«•·/\\\\–—*_=~-]{1,3} ')} > {p['separator_percent']} * n
+    OR 100 * {count('[!?]{2,} ')} > {p['shout_percent']} * n
+    OR (regexp_matches(x, '\\p{{Lu}}\\p{{Lu}}') AND {count('\\p{L}')} >= 8 AND 100 * {count('\\p{Lu}')} > {p['upper_percent']} * {count('\\p{L}')})
+    OR 100 * {count(' (?:' + '|'.join(NAVIGATION) + ')[,:]? ', 'lo')} > {p['navigation_percent']} * n
+    OR (n <= 30 AND regexp_matches(lo, '{'|'.join(BOILERPLATE).replace(' ', ' +')}'))) GROUP BY r),
+b AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{ws}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda q: regexp_matches(q, '[^\\x20\\x09-\\x0D]')) AS solid_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(bad.n, 0) AS BIGINT) AS n_bad_lines, CAST(coalesce(bad.lost, 0) AS BIGINT) AS lost_chars
+  FROM d LEFT JOIN rep ON d.r = rep.r LEFT JOIN bad ON d.r = bad.r),
+c AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(solid_lines) - len(list_distinct(solid_lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost_chars <= {p['lost_percent']} * word_chars AS kept, n_bad_lines, lost_chars FROM c
+"""
+
+
+ORACLE = _oracle()
