@@ -134,11 +134,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of long postings that hubs have not joined and that could still be similar.
+    """Links of long postings that hubs have not made.
 
     A class in its hub's component needs no more pairs with the rest of that
     component. For the others, shingles that no other class of long postings
-    has bound the intersection with anyone: pairs beyond that bound are never made.
+    has bound the intersection with anyone, which leaves few. A class y that is not linked to hub h and a
+    class x are similar only if x and y share much of what sets them apart from h: with D(x) the
+    symmetric difference of x and h, |D(x) & D(y)| >= (|D(x)| + |D(y)| - (n(x) + n(y)) * 15 / 185) / 2, which is over
+    0.459 * |D(x)| as y is not linked to h. So x is posted under the rarest of D(x), y under all of
+    D(y), and the join keeps only pairs that meet the bound, which is similarity itself.
     """
     roots = components(links)
     label = F.coalesce(F.col("root"), F.col("key"))
@@ -148,11 +152,39 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     c = each.join(common, "shingle").groupBy("key").agg(F.count("*").alias("c"))
     rows = materialize(rows.join(c, "key"), "heavy")
     hub_label = hubs.select("token", F.col("hub").alias("key")).join(rows, ["token", "key"]).select("token", F.col("label").alias("hub_label"))
-    minor = rows.join(hub_label, "token").where("label <> hub_label").select("token", *[F.col(x).alias(f"{x}_y") for x in ("key", "n", "label", "c")])
+    minor = rows.join(hub_label, "token").where("label <> hub_label").drop("hub_label")
     possible = (185 * F.least("c", "c_y") >= SIMILAR * (F.col("n") + F.col("n_y"))) & _sizes_fit("n", "n_y")
-    by_size = rows.groupBy("token", "n").agg(F.max("c").alias("c"))
-    still = minor.join(by_size, "token").where(possible).select(minor.columns).distinct()
-    return still.join(rows, "token").where(possible & (F.col("label") != F.col("label_y"))).select(F.col("key").alias("a"), F.col("key_y").alias("b"))
+
+    def reachable(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows of some that one of the others in their posting could reach."""
+        by_size = others.groupBy("token", F.col("n").alias("n_y")).agg(F.max("c").alias("c_y"))
+        held, sizes = some.alias("s"), by_size.alias("b")
+        return held.join(sizes, (F.col("s.token") == F.col("b.token")) & possible, "left_semi").select("token", "key", "n", "c", "label")
+
+    late = materialize(reachable(minor, rows), "late")
+    near = reachable(rows, late)
+    at_hub = hubs.select("token", "hub")
+    late, near = (x.join(at_hub, "token").select("hub", "key", "label").distinct() for x in (late, near))
+    members = late.withColumn("side", F.lit("y")).union(near.withColumn("side", F.lit("x")))
+    own = sets.select("key", "n", "set")
+    of_hub = sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set"))
+    apart = F.concat(F.array_except("set", "hub_set"), F.transform(F.array_except("hub_set", "set"), F.bitwise_not))
+    members = materialize(members.join(own, "key").join(of_hub, "hub").select("side", "hub", "key", "label", "n", apart.alias("d")), "apart")
+    posted = members.select("side", "hub", "key", F.explode("d").alias("e"))
+    shared = posted.select("hub", "key", "e").distinct().groupBy("hub", "e").agg(F.count("*").alias("freq")).where("freq > 1")
+    every = posted.where("side = 'x'").join(shared, ["hub", "e"], "left").groupBy("hub", "key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "e"))).alias("es"))
+    size = F.size("es")
+    first = F.slice("es", 1, (size - F.greatest(F.floor(size * 0.459), F.lit(1)) + 1).cast("int"))
+    post_x = every.select("hub", "key", F.explode(first).alias("p")).where("p.freq > 1").select("hub", "key", "p.e")
+    post_y = posted.where("side = 'y'").join(shared, ["hub", "e"], "left_semi").select("hub", "key", "e")
+
+    def with_sets(posts: DataFrame, side: str) -> DataFrame:
+        held = members.where(F.col("side") == side).drop("side")
+        return posts.join(held, ["hub", "key"]).select("hub", "e", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "label", "n", "d")])
+
+    alike = 370 * F.size(F.array_intersect("d_x", "d_y")) >= 185 * (F.size("d_x") + F.size("d_y")) - 15 * (F.col("n_x") + F.col("n_y"))
+    pairs = with_sets(post_x, "x").join(with_sets(post_y, "y"), ["hub", "e"]).where((F.col("label_x") != F.col("label_y")) & alike)
+    return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -204,3 +236,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op2_minhash_dedup(spark, sf_dir):
     """Near-duplicates among all documents."""
     return link(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and reachability; doc_id is taken to be unique.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) u(i) WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, b FROM reach r JOIN links ON r.other = links.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, w.doc_id = coalesce(component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_quality, mixing, warc_fixity
+from . import line_quality, mixing, near_dedup, warc_fixity
 from .classifier import op8_quality_classifier
 from .common import table
 from .fingerprints import op1_iblt_fingerprints
@@ -36,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_line_quality": line_quality.ORACLE, "op5_merkle_fixity": warc_fixity.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op2_minhash_dedup": near_dedup.ORACLE, "op4_line_quality": line_quality.ORACLE, "op5_merkle_fixity": warc_fixity.ORACLE, "op10_mix_sources": mixing.ORACLE}

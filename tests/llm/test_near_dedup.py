@@ -48,7 +48,10 @@ def near_copies(seed, groups, copies, size):
         for _ in range(rng.randrange(1, copies)):
             edited = list(base)
             for _ in range(rng.randrange(0, 1 + len(base) // 25)):
-                edited[rng.randrange(len(edited))] = word()
+                if rng.random() < 0.3 and len(edited) > 6:
+                    del edited[rng.randrange(len(edited))]
+                else:
+                    edited[rng.randrange(len(edited))] = word()
             out.append(" ".join(edited))
     return out
 
@@ -66,6 +69,7 @@ def test_sets_match_plain_shingles():
 
 @pytest.mark.parametrize("light", [64, 6])
 def test_components(spark, light, monkeypatch):
+    """With short postings only, and with most links through hubs."""
     monkeypatch.setattr(near_dedup, "LIGHT", light)
     texts = near_copies(2, 40, 6, 120) + near_copies(3, 2, 70, 100)
     texts += ["", None, " ", "same words here", "Same words here", "tiny", "tiny"]
