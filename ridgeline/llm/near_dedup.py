@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -165,22 +165,24 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     near = reachable(rows, late)
     at_hub = hubs.select("token", "hub")
     late, near = (x.join(at_hub, "token").select("hub", "key", "label").distinct() for x in (late, near))
-    members = late.withColumn("side", F.lit("y")).union(near.withColumn("side", F.lit("x")))
+    members = late.withColumn("y", F.lit(1)).withColumn("x", F.lit(0)).union(near.withColumn("y", F.lit(0)).withColumn("x", F.lit(1)))
+    members = members.groupBy("hub", "key", "label").agg(F.max("x").alias("x"), F.max("y").alias("y"))
     own = sets.select("key", "n", "set")
     of_hub = sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set"))
     apart = F.concat(F.array_except("set", "hub_set"), F.transform(F.array_except("hub_set", "set"), F.bitwise_not))
-    members = materialize(members.join(own, "key").join(of_hub, "hub").select("side", "hub", "key", "label", "n", apart.alias("d")), "apart")
-    posted = members.select("side", "hub", "key", F.explode("d").alias("e"))
-    shared = posted.select("hub", "key", "e").distinct().groupBy("hub", "e").agg(F.count("*").alias("freq")).where("freq > 1")
-    every = posted.where("side = 'x'").join(shared, ["hub", "e"], "left").groupBy("hub", "key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "e"))).alias("es"))
-    size = F.size("es")
-    first = F.slice("es", 1, (size - F.greatest(F.floor(size * 0.459), F.lit(1)) + 1).cast("int"))
-    post_x = every.select("hub", "key", F.explode(first).alias("p")).where("p.freq > 1").select("hub", "key", "p.e")
-    post_y = posted.where("side = 'y'").join(shared, ["hub", "e"], "left_semi").select("hub", "key", "e")
+    members = materialize(members.join(own, "key").join(of_hub, "hub").select("x", "y", "hub", "key", "label", "n", apart.alias("d")), "apart")
+    posted = materialize(members.select("hub", "key", F.explode("d").alias("e")), "differences")
+    shared = posted.groupBy("hub", "e").agg(F.count("*").alias("freq")).where("freq > 1")
+    common = posted.join(shared, ["hub", "e"]).groupBy("hub", "key").agg(F.array_sort(F.collect_list(F.struct("freq", "e"))).alias("es"))
+    members = materialize(members.join(common, ["hub", "key"]), "shared")
+    # Differences that nobody shares are the rarest: they fill the first places of a prefix.
+    size, held = F.size("d"), F.size("es")
+    first = size - F.greatest(F.floor(size * 0.459), F.lit(1)) + 1 - (size - held)
+    post_x = members.where("x = 1").select("hub", "key", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p")).select("hub", "key", "p.e")
+    post_y = members.where("y = 1").select("hub", "key", F.explode("es").alias("p")).select("hub", "key", "p.e")
 
     def with_sets(posts: DataFrame, side: str) -> DataFrame:
-        held = members.where(F.col("side") == side).drop("side")
-        return posts.join(held, ["hub", "key"]).select("hub", "e", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "label", "n", "d")])
+        return posts.join(members, ["hub", "key"]).select("hub", "e", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "label", "n", "d")])
 
     alike = 370 * F.size(F.array_intersect("d_x", "d_y")) >= 185 * (F.size("d_x") + F.size("d_y")) - 15 * (F.col("n_x") + F.col("n_y"))
     pairs = with_sets(post_x, "x").join(with_sets(post_y, "y"), ["hub", "e"]).where((F.col("label_x") != F.col("label_y")) & alike)
@@ -219,8 +221,8 @@ def link(docs: DataFrame) -> DataFrame:
         links = materialize(links.union(confirmed(more, sets)), "all-links")
     roots = components(links)
     label = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    least = Window.partitionBy("root")
-    label = label.withColumn("component_id", F.min("doc_id").over(least)).select("key", "component_id")
+    least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    label = label.join(least, "root").select("key", "component_id")
     out = rows.select("doc_id", "n", "key").join(label, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
