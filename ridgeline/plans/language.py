@@ -32,7 +32,9 @@ def fuzzy_spelling(spark, sf_dir):
 
 
 def identifiers(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("vest No. 0"), F.col("doc_id").cast("string"), F.lit(" and number 007, # 12 "), F.substring("text", 1, 200)).alias("t"))
+    """Of every whole document, after a few planted ones; a null id or text takes nothing else away."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("vest No. 0"), part("doc_id"), F.lit(" and number 007, # 12 "), part("text")).alias("t"))
     return d.select("doc_id", F.array_join(text.identifiers(F.col("t")), ",").alias("ids"))
 
 
