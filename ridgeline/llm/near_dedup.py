@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +12,11 @@ from . import shingles
 from .common import materialize, table
 from .components import components
 
-#: Percent of the union that the intersection must reach.
+#: Percent of the union that the intersection must reach: in op 2, and in a stage over word shingles.
 SIMILAR = 85
-#: Coordinates of a signature, and how many must agree for a pair to be confirmed on full sets.
-#: At a similarity of 0.85, fewer than 36 of 64 agree about once in 10 ** 8 pairs.
+STAGE_SIMILAR = 80
+#: Coordinates of a signature.
 COORDINATES = 64
-MATCHES = 36
 #: Postings longer than this are served by hubs instead of by all their pairs.
 LIGHT = 64
 
@@ -25,6 +26,19 @@ _TIMES = _rng.integers(1, 2**64, COORDINATES, np.uint64) | np.uint64(1)
 _NAME = _rng.integers(1, 2**64, COORDINATES, np.uint64)
 
 
+def matches(similar: int) -> int:
+    """How many coordinates must agree for a pair to be confirmed on full sets.
+
+    At the given similarity, fewer agree less than once in 10 ** 8 pairs: 36 of 64 at 85 percent, 31 at 80.
+    """
+    s, below = similar / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k)
+        if below > 1e-8:
+            return k
+    return COORDINATES
+
+
 def signatures(sets: list) -> np.ndarray:
     """Rows of coordinate-value pairs, each as one number; sets must not be empty."""
     out = np.zeros((len(sets), COORDINATES), np.uint64)
@@ -72,22 +86,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key binary, n long, set array<long>").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _sizes_fit(a: str, b: str):
-    return (100 * F.col(a) >= SIMILAR * F.col(b)) & (100 * F.col(b) >= SIMILAR * F.col(a))
+def _sizes_fit(a: str, b: str, similar: int):
+    return (100 * F.col(a) >= similar * F.col(b)) & (100 * F.col(b) >= similar * F.col(a))
 
 
-def alive(classes: DataFrame) -> DataFrame:
+def alive(classes: DataFrame, least: int) -> DataFrame:
     """Classes that can have a partner, with their prefix of postings.
 
     Pairs of coordinate and value that no other class has agree with nobody.
-    With the rest ordered by frequency, rare first, two classes that agree in MATCHES places
-    share one among the first COORDINATES - MATCHES + 1 of both.
+    With the rest ordered by frequency, rare first, two classes that agree in least places
+    share one among the first COORDINATES - least + 1 of both.
     """
     tokens = classes.select("key", F.explode("sig").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     own = tokens.join(shared, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("shared"))
-    own = own.where(F.size("shared") >= MATCHES)
-    rest = COORDINATES - MATCHES + 1 - (COORDINATES - F.size("shared"))
+    own = own.where(F.size("shared") >= least)
+    rest = COORDINATES - least + 1 - (COORDINATES - F.size("shared"))
     weight = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["freq"])
     own = own.select("key", F.slice("shared", 1, rest).alias("prefix"), weight.alias("weight")).where(F.size("prefix") > 0)
     return own.join(classes.select("key", "n", "sig"), "key")
@@ -97,8 +111,9 @@ def _short(sig: np.ndarray) -> np.ndarray:
     return (sig & 0xFF).astype(np.uint8)
 
 
-def light_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs within postings of at most LIGHT classes that agree in MATCHES places."""
+def light_pairs(postings: DataFrame, similar: int) -> DataFrame:
+    """Pairs within postings of at most LIGHT classes that agree in enough places."""
+    least = matches(similar)
     lists = postings.where(F.col("freq") <= LIGHT).groupBy("token").agg(F.collect_list(F.struct("key", "n", "short")).alias("rows")).where(F.size("rows") > 1)
 
     def run(batches):
@@ -111,9 +126,9 @@ def light_pairs(postings: DataFrame) -> DataFrame:
                 short = np.frombuffer(b"".join(r["short"] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
                 n = np.array([r["n"] for r in rows])
                 i, j = np.triu_indices(len(rows), 1)
-                ok = (100 * n[i] >= SIMILAR * n[j]) & (100 * n[j] >= SIMILAR * n[i])
+                ok = (100 * n[i] >= similar * n[j]) & (100 * n[j] >= similar * n[i])
                 i, j = i[ok], j[ok]
-                ok = (short[i] == short[j]).sum(1) >= MATCHES
+                ok = (short[i] == short[j]).sum(1) >= least
                 left += [rows[k]["key"] for k in i[ok]]
                 right += [rows[k]["key"] for k in j[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
@@ -121,29 +136,30 @@ def light_pairs(postings: DataFrame) -> DataFrame:
     return lists.select("rows").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("_both", both).where(100 * F.col("_both") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("_both"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("_both", both).where(100 * F.col("_both") >= similar * (F.col("na") + F.col("nb") - F.col("_both"))).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links of long postings that hubs have not made.
 
     A class in its hub's component needs no more pairs with the rest of that
     component. For the others, shingles that no other class of long postings
     has bound the intersection with anyone, which leaves few. A class y that is not linked to hub h and a
     class x are similar only if x and y share much of what sets them apart from h: with D(x) the
-    symmetric difference of x and h, |D(x) & D(y)| >= (|D(x)| + |D(y)| - (n(x) + n(y)) * 15 / 185) / 2, which is over
-    0.459 * |D(x)| as y is not linked to h. So x is posted under the rarest of D(x), y under all of
+    symmetric difference of x and h, |D(x) & D(y)| >= (|D(x)| + |D(y)| - (n(x) + n(y)) * (100 - s) / (100 + s)) / 2 at s percent, which
+    is over |D(x)| * s / (100 + s) as y is not linked to h. So x is posted under the rarest of D(x), y under all of
     D(y), and the join keeps only pairs that meet the bound, which is similarity itself.
     """
+    whole, apart_most = 100 + similar, 100 - similar
     roots = components(links)
     label = F.coalesce(F.col("root"), F.col("key"))
     rows = heavy.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("label", label).select("token", "key", "n", "label")
@@ -153,7 +169,7 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     rows = materialize(rows.join(c, "key"), "heavy")
     hub_label = hubs.select("token", F.col("hub").alias("key")).join(rows, ["token", "key"]).select("token", F.col("label").alias("hub_label"))
     minor = rows.join(hub_label, "token").where("label <> hub_label").drop("hub_label")
-    possible = (185 * F.least("c", "c_y") >= SIMILAR * (F.col("n") + F.col("n_y"))) & _sizes_fit("n", "n_y")
+    possible = (whole * F.least("c", "c_y") >= similar * (F.col("n") + F.col("n_y"))) & _sizes_fit("n", "n_y", similar)
 
     def reachable(some: DataFrame, others: DataFrame) -> DataFrame:
         """Rows of some that one of the others in their posting could reach."""
@@ -177,25 +193,26 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     members = materialize(members.join(common, ["hub", "key"]), "shared")
     # Differences that nobody shares are the rarest: they fill the first places of a prefix.
     size, held = F.size("d"), F.size("es")
-    first = size - F.greatest(F.floor(size * 0.459), F.lit(1)) + 1 - (size - held)
+    first = size - F.greatest(F.floor(size * similar / whole), F.lit(1)) + 1 - (size - held)
     post_x = members.where("x = 1").select("hub", "key", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p")).select("hub", "key", "p.e")
     post_y = members.where("y = 1").select("hub", "key", F.explode("es").alias("p")).select("hub", "key", "p.e")
 
     def with_sets(posts: DataFrame, side: str) -> DataFrame:
         return posts.join(members, ["hub", "key"]).select("hub", "e", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "label", "n", "d")])
 
-    alike = 370 * F.size(F.array_intersect("d_x", "d_y")) >= 185 * (F.size("d_x") + F.size("d_y")) - 15 * (F.col("n_x") + F.col("n_y"))
+    alike = 2 * whole * F.size(F.array_intersect("d_x", "d_y")) >= whole * (F.size("d_x") + F.size("d_y")) - apart_most * (F.col("n_x") + F.col("n_y"))
     pairs = with_sets(post_x, "x").join(with_sets(post_y, "y"), ["hub", "e"]).where((F.col("label_x") != F.col("label_y")) & alike)
     return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets are one class. Classes are posted under the
     rarest of their coordinate-value pairs; pairs in short postings are counted over whole signatures
     (merging), long postings are skipped but for a hub each, and what hubs leave is
-    found by bounds; all pairs that agree often enough are confirmed on full sets.
+    found by bounds; all pairs that agree often enough are confirmed on full sets. similar: percent
+    of the union that two sets must share.
 
     Null, empty and blank texts: no shingles, a component of their own. Null
     doc_id: linked by its text, never a component_id unless the whole component has none.
@@ -206,19 +223,19 @@ def link(docs: DataFrame) -> DataFrame:
     full = rows.where("n > 0")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    held = materialize(alive(classes), "alive")
+    held = materialize(alive(classes, matches(similar)), "alive")
     postings = held.select("key", "n", "weight", F.unhex(F.array_join(F.transform("sig", lambda x: F.lpad(F.substring(F.hex(x), -2, 2), 2, "0")), "")).alias("short"), F.explode("prefix").alias("p")).select("key", "n", "weight", "short", "p.freq", "p.token")
     heavy = postings.where(F.col("freq") > LIGHT)
     hubs = heavy.groupBy("token").agg(F.max(F.struct("weight", "key", "n")).alias("h")).select("token", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = heavy.join(hubs, "token").where((F.col("key") != F.col("hub")) & _sizes_fit("n", "hub_n")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    pairs = materialize(_ordered(light_pairs(postings).union(stars)), "pairs")
+    stars = heavy.join(hubs, "token").where((F.col("key") != F.col("hub")) & _sizes_fit("n", "hub_n", similar)).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    pairs = materialize(_ordered(light_pairs(postings, similar).union(stars)), "pairs")
     named = classes.select("key", "doc_id")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(heavy.select("key")).distinct()
     sets = materialize(full_sets(docs, named.join(wanted, "key", "left_semi")), "sets")
-    links = materialize(confirmed(pairs, sets), "links")
+    links = materialize(confirmed(pairs, sets, similar), "links")
     if not heavy.isEmpty():
-        more = materialize(_ordered(leftover_pairs(heavy, hubs, links, sets)), "leftover")
-        links = materialize(links.union(confirmed(more, sets)), "all-links")
+        more = materialize(_ordered(leftover_pairs(heavy, hubs, links, sets, similar)), "leftover")
+        links = materialize(links.union(confirmed(more, sets, similar)), "all-links")
     roots = components(links)
     label = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -228,9 +245,9 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
     """The documents with one of each component left, columns as they were; of repeated rows with one doc_id, one."""
-    kept = link(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = link(docs, similar).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     return first.dropDuplicates(["doc_id"]).select(*docs.columns)
 
