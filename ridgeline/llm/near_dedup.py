@@ -7,9 +7,10 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import shingles
-from .common import materialize, table
+from .common import materialize, table, trimmed
 from .components import components
 
 #: Percent of the union that the intersection must reach: in op 2, and in a stage over word shingles.
@@ -219,6 +220,14 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     Repeated rows: equal classes; each row stays. Empty table: empty result. Other
     columns are ignored.
     """
+    rows, label = labelled(docs, similar)
+    out = rows.select("doc_id", "n", "key").join(label.select("key", "component_id"), "key", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def labelled(docs: DataFrame, similar: int) -> tuple:
+    """What signed() gives of each row, and of each class: key, doc_id (its least), root, component_id."""
     rows = materialize(signed(docs), "signatures")
     full = rows.where("n > 0")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
@@ -239,17 +248,37 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     roots = components(links)
     label = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n", "key").join(label, "key", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return rows, label.join(least, "root").select("key", "doc_id", "root", "component_id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with the key of their shingle set as _key; no words: null."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = [shingles.key_of(s) if len(s) else None for s in shingles.sets_of(part.column(part.schema.get_field_index("text")))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, "_key"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType())]))
 
 
 def deduplicated(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
-    """The documents with one of each component left, columns as they were; of repeated rows with one doc_id, one."""
-    kept = link(docs, similar).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents with one row of each component left, columns as they were.
+
+    The row is chosen by shingle set and doc_id: the one with the least doc_id of its
+    component, one without only where the whole component has none. Rows of one doc_id, or of
+    none, are as different as their texts. Those without words are each a component of their own and stay.
+    """
+    _, label = labelled(docs, similar)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
+    chosen = label.groupBy("root").agg(first).select(F.col("r.key").alias("_chosen"), F.col("r.doc_id").alias("_id"))
+    same = (F.col("_key") == F.col("_chosen")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    one = keyed(docs).join(chosen, same, "left_semi").dropDuplicates(["_key"])
+    return one.select(*docs.columns).union(docs.where(trimmed(F.col("text")) == ""))
 
 
 def op2_minhash_dedup(spark, sf_dir):

@@ -45,3 +45,17 @@ def test_stage_takes_pairs_from_080(spark, light, monkeypatch):
     assert [r[0] for r in sorted(left(spark, rows))] == [2 * i for i in range(25)]
     strict = near_dedup.link(spark.createDataFrame(rows, SCHEMA)).where("kept").count()
     assert strict == 50
+
+
+def test_rows_with_null_or_repeated_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b + " more", "x"), (7, c, "y"), (7, d, "y"), (7, d, "y"), (3, e, "z"), (9, e + " more", "z"), (None, e, "z"), (9, f, "z"), (5, g, "z"), (4, g, "z")]
+    rows += [(None, None, "blank"), (None, "", "blank"), (8, " ", "blank")]
+    got = left(spark, rows)
+    assert [r for r in got if r[2] == "blank"] == sorted(rows[-3:], key=str)
+    words = [r[:2] for r in got if r[2] != "blank"]
+    of_b = [r for r in words if r[0] is None and r[1].startswith(b)]
+    assert len(of_b) == 1
+    assert sorted((r for r in words if r not in of_b), key=str) == sorted([(None, a), (7, c), (7, d), (3, e), (9, f), (4, g)], key=str)
