@@ -37,7 +37,7 @@ def coobserved_bundles(spark, sf_dir):
 
 
 def tracklets(spark, sf_dir):
-    return events.tracklets(boxes(spark, sf_dir).where("frame % 10 = 0"), "instance", "line")
+    return events.tracklets(boxes(spark, sf_dir), "instance", "line")
 
 
 def registry_top_regions(spark, sf_dir):

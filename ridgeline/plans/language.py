@@ -46,7 +46,7 @@ def parsed_times(spark, sf_dir):
 
 
 def norm_phrases(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(text.norm_phrase(F.col("text")).cast("binary")).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.norm_phrase(F.col("text")).cast("binary")).alias("digest"))
 
 
 def person_name_shape(spark, sf_dir):

@@ -145,11 +145,10 @@ def entity_compare(spark, sf_dir):
 
 
 def window_records(spark, sf_dir):
-    """Records of the first two days' windows, in order within each."""
+    """Records of all windows, in order within each."""
     from pyspark.sql import Window
 
-    few = facts(spark, sf_dir).where(F.col("win") < BASE + 48)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("t0", "fact_id")).cast("long")).select("win", "rank", "fact_id", "kind")
+    return facts(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("t0", "fact_id")).cast("long")).select("win", "rank", "fact_id", "kind")
 
 
 def _hits(spark, sf_dir):

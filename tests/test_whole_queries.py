@@ -1,5 +1,7 @@
 """Reference queries over whole tables, against plain versions."""
 
+import datetime
+import hashlib
 import re
 
 from ridgeline.plans import catalog
@@ -22,3 +24,24 @@ def test_identifiers_of_whole_texts(spark, tmp_path):
         want.append((doc, ",".join(dict.fromkeys(n.lstrip("0") or "0" for n in found))))
     assert sorted(map(str, ((r.doc_id, r.ids) for r in got))) == sorted(map(str, want))
     assert next(r.ids for r in got if r.doc_id == 2).endswith(",77,8")
+
+
+def test_tracklets_have_all_frames(spark, tmp_path):
+    rows = [(f, s, n, 1 + n, 0.05, 0.02) for n, (f, s) in enumerate([(10, 1), (11, 1), (13, 1), (13, 1), (27, 2), (30, 2), (5, 3)])]
+    got = run(spark, tmp_path, "tracklets", "lineitem", rows, "l_orderkey long, l_suppkey long, l_linenumber long, l_partkey long, l_discount double, l_tax double")
+    assert sorted((r.instance, r.sightings, r.frames) for r in got) == [("P1", 4, "10,11,13"), ("P2", 2, "27,30"), ("P3", 1, "5")]
+
+
+def test_norm_phrases_of_all_languages(spark, tmp_path):
+    rows = [(1, " One  TWO\n", "en"), (2, "ÄRGER  Über\tÉté ", "de"), (3, "Ça  VA", None), (4, None, "fr")]
+    got = run(spark, tmp_path, "norm_phrases", "documents", rows, DOCUMENTS)
+    plain = lambda t: re.sub(r"\s+", " ", (t or "").lower(), flags=re.ASCII).strip(" ")
+    assert sorted((r.doc_id, r.digest) for r in got) == [(d, hashlib.md5(plain(t).encode()).hexdigest()) for d, t, _ in rows]
+
+
+def test_window_records_of_all_windows(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=h, minutes=m), i, "click", 1.0, '{"k": 1}') for i, (h, m) in enumerate([(0, 9), (0, 3), (47, 0), (48, 5), (48, 4), (900, 1), (20000, 7)])]
+    got = run(spark, tmp_path, "window_records", "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    base = min(r.win for r in got)
+    assert sorted((r.win - base, r["rank"], r.fact_id) for r in got) == [(0, 1, "F1"), (0, 2, "F0"), (47, 1, "F2"), (48, 1, "F4"), (48, 2, "F3"), (900, 1, "F5"), (20000, 1, "F6")]
