@@ -28,7 +28,9 @@ CONTEXT_WORDS = (
 _CONTEXT = re.compile(r"(?ai:(?<![a-z0-9])(?:" + "|".join(sorted(CONTEXT_WORDS, key=len, reverse=True)) + r")(?![a-z]))")
 #: Characters of context before a candidate.
 CONTEXT_CHARS = 48
-#: Strings that could be secrets: one run without spaces that holds a digit and is long.
+#: Borders between the parts of a camelCase name.
+_PARTS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+#: Strings that could be secrets: one long run without spaces.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 
 #: Identifiers and code that the dictionary is primed with.
@@ -44,10 +46,8 @@ PRIME = (
 )
 #: A string is reported when it costs at least so many bytes for each of its characters ...
 NOVELTY = 0.55
-#: ... and so many bits a character by its own letters ...
+#: ... and so many bits a character by its own letters.
 ENTROPY = 3.0
-#: ... and changes so often between letters and digits, which words with a number don't.
-CHANGES = 3
 
 
 class Novelty:
@@ -84,17 +84,18 @@ def base_spans(text: str) -> list:
     return sorted(out)
 
 
+def sensitive(context: str) -> bool:
+    """Whether a context word stands there, as a word or as a part of a camelCase or underscore name."""
+    return bool(_CONTEXT.search(context) or _CONTEXT.search(_PARTS.sub(" ", context)))
+
+
 def novel_spans(text: str, novelty: Novelty) -> list:
     """(start, end, score) of incompressible strings in a sensitive context."""
     out = []
     for m in _CANDIDATE.finditer(text):
         word = m[0]
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            continue
-        if sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:])) < CHANGES:
-            continue
         before = text[max(0, m.start() - CONTEXT_CHARS) : m.start()]
-        if not _CONTEXT.search(before + word.partition("=")[0] if "=" in word else before):
+        if not sensitive(before + word.partition("=")[0] if "=" in word else before):
             continue
         score = novelty(before, word, text[m.end() : m.end() + CONTEXT_CHARS])
         if score >= NOVELTY and entropy(word) >= ENTROPY:
@@ -112,8 +113,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: base counts, their digest, and all spans.
 
-    Candidates are long strings of key characters with digits and letters in a
-    sensitive context; each is reported if the bytes it adds to the compressed
+    Candidates are all long strings of key characters in a sensitive context; each is reported if the bytes it adds to the compressed
     surroundings, after a dictionary of code and identifiers, are near its
     length. Spans of the method are of kind novel; base spans stay.
 
