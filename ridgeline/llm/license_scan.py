@@ -75,6 +75,16 @@ FAMILIES = (
     ("public-domain", ("dedicated to the public domain", "released into the public domain", "in the public domain"), ()),
 )
 
+#: SPDX ids and short names by family, where its names above lack them.
+#: Most are common words, so they count only in identifiers and in what is stated to be under them.
+SHORT = {
+    "mit": ("mit", "x11", "expat"), "isc": ("isc",), "apache": ("apache", "apache2"), "gpl": ("gplv1", "gplv2", "gplv3"), "lgpl": ("lgplv2", "lgplv3"), "agpl": ("agplv3",),
+    "gfdl": ("gnu fdl",), "bsd": ("bsd",), "edl": ("edl",), "cpl": ("cpl",), "artistic": ("artistic", "clartistic"), "zlib": ("zlib", "libpng"),
+    "boost": ("boost",), "odbl": ("open database",), "ofl": ("ofl", "sil ofl"), "psf": ("psf",), "python": ("python", "cnri python"), "php": ("php",), "ruby": ("ruby",),
+    "postgresql": ("postgresql",), "openssl": ("openssl", "ssleay"), "curl": ("curl",), "ncsa": ("ncsa",), "academic-free": ("afl",), "open-software": ("osl",),
+    "upl": ("upl",), "mulan": ("mulanpsl",), "elastic": ("elastic",),
+}
+
 #: Sentences of licence texts.
 SENTENCES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -101,6 +111,11 @@ _STATED = (
     ("plain statement", r"(?:licensed|released|distributed|available|published|provided|covered) (?:\S+ ){{0,3}}?(?:under|by|with) (?:\S+ ){{0,6}}?{name}", 0.85),
     ("name", r"{name}", 0.7),
 )
+#: The same for the short names of SHORT, as (way above, form): a version follows or none does.
+_SHORT_STATED = (
+    (0, r"spdx license identifier {name}(?: v)?(?: \d+(?: \d+)?)?(?: only| or later)?"),
+    (3, r"(?:licensed|released|distributed|available|published|provided|covered) (?:\S+ ){{0,3}}?under (?:\S+ ){{0,6}}?{name}(?: license| licence)?(?:(?: v| version)* \d+(?: \d+)?)?"),
+)
 
 
 class Rule:
@@ -114,7 +129,7 @@ class Rule:
 
 
 def rules() -> list:
-    """All rules, in order of priority: sentences, then the ways above, longer names before shorter."""
+    """All rules, in order of priority: sentences, then the ways above, each with SHORT last, longer names before shorter."""
     out = [Rule(label, max(re.findall(r"[a-z]{4,}", text), key=len), text, 0, 1.0) for label, text in SENTENCES]
     for way, (kind, form, score) in enumerate(_STATED):
         for label, names, versions in FAMILIES:
@@ -127,6 +142,10 @@ def rules() -> list:
                     continue
                 written = form.format(name=name, version=version if kind in ("statement", "versioned") else r"\d+(?: \d+)?")
                 out.append(Rule(label, max(name.split(), key=len), written, way + 1, score))
+    for way, form in _SHORT_STATED:
+        for label, names in SHORT.items():
+            for name in names:
+                out.append(Rule(label, "spdx" if way == 0 else max(name.split(), key=len), form.format(name=name), way + 1.5, _STATED[way][2]))
     return sorted(out, key=lambda r: (r.priority, -len(r.pattern.pattern)))
 
 
