@@ -49,8 +49,8 @@ def instance_extent(spark, sf_dir):
 
 
 def iou_pairs(spark, sf_dir):
-    """Instances of one frame whose boxes overlap by less than a tenth."""
-    return events.same_frame_pairs(boxes(spark, sf_dir), 1, 10_000, 10).groupBy("instance_a").agg(F.count("*").alias("pairs"), F.sum("common").alias("common"), F.sum("together").alias("together"))
+    """Instances of one frame whose boxes overlap by less than half of their union."""
+    return events.same_frame_pairs(boxes(spark, sf_dir), 1, 10_000, 2).groupBy("instance_a").agg(F.count("*").alias("pairs"), F.sum("common").alias("common"), F.sum("together").alias("together"))
 
 
 def shared_box_audit(spark, sf_dir):

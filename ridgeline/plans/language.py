@@ -24,11 +24,50 @@ def _tokens(spark, sf_dir):
 
 
 def fuzzy_spelling(spark, sf_dir):
-    """For each word the nearest other word of the same first letter and length, by edit distance, then order."""
-    words = _tokens(spark, sf_dir).withColumn("k", F.concat(F.substring("token", 1, 1), F.char_length("token").cast("string")))
-    pairs = words.join(words.select(F.col("token").alias("other"), "k"), "k").where("token <> other").withColumn("distance", F.levenshtein("token", "other").cast("long"))
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("distance", "other"))
-    return pairs.withColumn("_r", rank).where("_r = 1 AND distance <= 2").select("token", "other", "distance")
+    """Each word of the conversations with the capitalised word it stands for: the same one but for case, else the nearest by phonetic key, the first in order."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Za-z][A-Za-z'\-]{2,}\b"), F.lit(0)))
+    spoken = utterances(spark, sf_dir).select(found.alias("token")).distinct()
+    words = _tokens(spark, sf_dir).select(F.col("token").alias("other"))
+    exact = spoken.join(words, F.lower("token") == F.lower("other")).groupBy("token").agg(F.min("other").alias("other"))
+    exact = exact.select("token", "other", F.lit("exact").alias("match"), F.lit(0).cast("long").alias("distance"))
+    left, right = (d.withColumn("key", text.phonetic_key(F.col(c))).where(F.char_length("key") >= 3) for d, c in ((spoken, "token"), (words, "other")))
+    near = _near_keys(left.select("key").distinct(), right.select("key").distinct())
+    pairs = left.withColumnRenamed("key", "a").join(near, "a").join(right.withColumnRenamed("key", "b"), "b").join(exact.select("token"), "token", "left_anti")
+    best = pairs.groupBy("token").agg(F.min(F.struct("distance", "other")).alias("r"))
+    return exact.union(best.select("token", "r.other", F.lit("phonetic"), "r.distance"))
+
+
+def _near_keys(a, b):
+    """a, b, distance of all keys within max(1, a third of the shorter one's length).
+
+    Of d + 1 pieces of the shorter key one stands whole in the longer one, at most d places
+    off; so keys join on pieces and where they come from, and no pair is left out.
+    """
+    d = lambda n: F.greatest(F.floor(n / 3).cast("int"), F.lit(1))
+    size = F.char_length("key")
+
+    def pieces(keys):
+        """As the shorter one: its length, the piece's number, the piece."""
+        many = d(size) + 1
+        at = keys.select("key", size.alias("n"), many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+        start = lambda i: F.floor(i * F.col("n") / F.col("many")).cast("int")
+        return at.select("key", "n", "i", F.substring("key", start(F.col("i")) + 1, start(F.col("i") + 1) - start(F.col("i"))).alias("piece"))
+
+    def windows(keys):
+        """As the longer one: every length the shorter one can have, with all places its pieces can stand at."""
+        n = keys.select("key", size.alias("size"), F.explode(F.sequence(F.greatest(F.lit(3), F.floor(size / 2).cast("int") - 1), size)).alias("n")).where(F.col("size") - F.col("n") <= d(F.col("n")))
+        at = n.withColumn("many", d(F.col("n")) + 1).select("*", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
+        start = lambda i: F.floor(i * F.col("n") / F.col("many")).cast("int")
+        long = start(F.col("i") + 1) - start(F.col("i"))
+        place = F.explode(F.sequence(F.greatest(start(F.col("i")) - F.col("many") + 1, F.lit(0)), start(F.col("i")) + F.col("many") - 1))
+        at = at.select("key", "size", "n", "i", long.alias("long"), place.alias("place")).where(F.col("place") + F.col("long") <= F.col("size"))
+        return at.select("key", "n", "i", F.substring("key", F.col("place") + 1, F.col("long")).alias("piece")).distinct()
+
+    join = ["n", "i", "piece"]
+    one = pieces(a.select("key")).withColumnRenamed("key", "a").join(windows(b).withColumnRenamed("key", "b"), join).select("a", "b")
+    two = windows(a).withColumnRenamed("key", "a").join(pieces(b.select("key")).withColumnRenamed("key", "b"), join).select("a", "b")
+    both = one.union(two).distinct().withColumn("distance", F.levenshtein("a", "b").cast("long"))
+    return both.where(F.col("distance") <= d(F.least(F.char_length("a"), F.char_length("b"))))
 
 
 def identifiers(spark, sf_dir):
