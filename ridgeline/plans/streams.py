@@ -8,14 +8,12 @@ from ..streaming import windows
 
 
 def stream_tumbling_counts(spark, sf_dir):
-    events = windows.timed(windows.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour")
-    out = windows.completed(windows.tumbling(events, "ts", "6 hours", "event_type"))
+    out = windows.closed(spark, f"{sf_dir}/events.parquet", "ts", "1 hour", lambda e: windows.tumbling(e, "ts", "6 hours", "event_type"))
     return out.select((F.unix_micros("window.start") / F.lit(3_600_000_000)).cast("long").alias("hour"), "event_type", "n")
 
 
 def stream_session_process(spark, sf_dir):
-    events = windows.timed(windows.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour")
-    out = windows.completed(windows.sessions(events, "ts", "6 hours", "user_id"))
+    out = windows.closed(spark, f"{sf_dir}/events.parquet", "ts", "1 hour", lambda e: windows.sessions(e, "ts", "6 hours", "user_id"))
     return out.select("user_id", F.unix_micros("window.start").alias("first"), F.unix_micros("window.end").alias("closed"), "n")
 
 

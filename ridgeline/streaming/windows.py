@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at a path, with the schema of what is there; each file once."""
@@ -28,13 +30,27 @@ def sessions(df: DataFrame, column: str, gap: str, *keys: str) -> DataFrame:
     return df.groupBy(F.session_window(column, gap).alias("window"), *keys).agg(F.count("*").alias("n"))
 
 
-def completed(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Runs an aggregation over all that is there now, in complete mode, and returns its rows."""
-    name = f"ridgeline_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
+def closed(spark: SparkSession, path: str, column: str, late: str, aggregate) -> DataFrame:
+    """All rows of aggregate(events) over the files that are there now, each window once it is closed.
+
+    Append mode into a file sink of the shared folder: nothing is held by the driver,
+    and the state of a window goes when the watermark passes it. When all files are read, one
+    row far ahead in time lets the watermark pass the last windows; its own stays open.
+    """
+    base = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
+    ends, out = f"{base}/end", f"{base}/out"
+    rows = file_stream(spark, path)
+    spark.createDataFrame([], rows.schema).write.parquet(ends)
+    after = spark.readStream.schema(rows.schema).parquet(ends)
+    events = aggregate(timed(rows.unionByName(after), column, late))
+
+    def run() -> None:
+        writer = events.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+
+    run()
+    last = spark.read.parquet(path).agg(F.max(column).alias(column)).where(F.col(column).isNotNull())
+    held = [(F.col(f.name) + F.expr("INTERVAL 36500 DAYS") if f.name == column else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    last.select(*held).write.mode("append").parquet(ends)
+    run()
+    return spark.read.schema(events.schema).parquet(out)
