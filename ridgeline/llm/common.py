@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, join_split
+from ..storage import written as materialize
+
+__all__ = ["bound", "bucket_of", "discard", "fixed", "guarded", "join_split", "materialize", "n_words", "range_splits", "table", "trimmed", "words"]
+
 #: White space of the word rules here (space, tab, LF, VT, FF, CR), as a Java class body.
 SPACE = r" \t-\r"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -17,27 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: the session's checkpoint folder.
+def guarded(docs: DataFrame, needed: tuple) -> tuple:
+    """docs with all columns but the needed ones under names that no operator uses, and the way back.
 
-    Only where no such folder is set (tests in local mode) one is made.
+    back(out) gives the old names to the columns again. So an operator's own columns,
+    inner or returned, never meet a column of the input.
     """
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ridgeline-checkpoint-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+    other = [c for c in docs.columns if c not in needed]
+    hidden = {c: f"kept__{i}" for i, c in enumerate(other)}
 
+    def back(out: DataFrame, added: tuple = ()) -> DataFrame:
+        """The columns of docs, those that clash with added ones left out, and the added ones."""
+        taken = {a.lower() for a in added}
+        held = [F.col(hidden.get(c, c)).alias(c) for c in docs.columns if c.lower() not in taken]
+        return out.select(*held, *added)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there.
-
-    What is read again no longer depends on any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]), back
 
 
 def trimmed(text: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators.components import components
 from . import shingles
-from .common import materialize, table, trimmed
-from .components import components
+from .common import discard, join_split, materialize, table, trimmed
 
 #: Percent of the union that the intersection must reach: in op 2, and in a stage over word shingles.
 SIMILAR = 85
@@ -100,7 +100,7 @@ def alive(classes: DataFrame, least: int) -> DataFrame:
     """
     tokens = classes.select("key", F.explode("sig").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
-    own = tokens.join(shared, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("shared"))
+    own = join_split(tokens, shared, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("shared"))
     own = own.where(F.size("shared") >= least)
     rest = COORDINATES - least + 1 - (COORDINATES - F.size("shared"))
     weight = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["freq"])
@@ -187,7 +187,7 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     own = sets.select("key", "n", "set")
     of_hub = sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set"))
     apart = F.concat(F.array_except("set", "hub_set"), F.transform(F.array_except("hub_set", "set"), F.bitwise_not))
-    members = materialize(members.join(own, "key").join(of_hub, "hub").select("x", "y", "hub", "key", "label", "n", apart.alias("d")), "apart")
+    apart_rows = members = materialize(members.join(own, "key").join(of_hub, "hub").select("x", "y", "hub", "key", "label", "n", apart.alias("d")), "apart")
     posted = materialize(members.select("hub", "key", F.explode("d").alias("e")), "differences")
     shared = posted.groupBy("hub", "e").agg(F.count("*").alias("freq")).where("freq > 1")
     common = posted.join(shared, ["hub", "e"]).groupBy("hub", "key").agg(F.array_sort(F.collect_list(F.struct("freq", "e"))).alias("es"))
@@ -195,15 +195,22 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     # Differences that nobody shares are the rarest: they fill the first places of a prefix.
     size, held = F.size("d"), F.size("es")
     first = size - F.greatest(F.floor(size * similar / whole), F.lit(1)) + 1 - (size - held)
-    post_x = members.where("x = 1").select("hub", "key", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p")).select("hub", "key", "p.e")
-    post_y = members.where("y = 1").select("hub", "key", F.explode("es").alias("p")).select("hub", "key", "p.e")
+    post_x = members.where("x = 1").select("hub", "key", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p"), "label").select("hub", "key", "label", "p.e")
+    post_y = members.where("y = 1").select("hub", "key", F.explode("es").alias("p"), "label").select("hub", "key", "label", "p.e")
 
-    def with_sets(posts: DataFrame, side: str) -> DataFrame:
-        return posts.join(members, ["hub", "key"]).select("hub", "e", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "label", "n", "d")])
+    # First the pairs that meet anywhere, each once; only then the differences themselves, one of each side for a pair.
+    post_x, post_y = (p.select("hub", "e", F.col("key").alias(f"key_{side}"), F.col("label").alias(f"label_{side}")) for p, side in ((post_x, "x"), (post_y, "y")))
+    meet = post_x.join(post_y, ["hub", "e"]).where("label_x <> label_y").select("hub", "key_x", "key_y").distinct()
+
+    def with_sets(pairs: DataFrame, side: str) -> DataFrame:
+        held = members.select("hub", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "n", "d")])
+        return pairs.join(held, ["hub", f"key_{side}"])
 
     alike = 2 * whole * F.size(F.array_intersect("d_x", "d_y")) >= whole * (F.size("d_x") + F.size("d_y")) - apart_most * (F.col("n_x") + F.col("n_y"))
-    pairs = with_sets(post_x, "x").join(with_sets(post_y, "y"), ["hub", "e"]).where((F.col("label_x") != F.col("label_y")) & alike)
-    return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    pairs = with_sets(with_sets(meet, "x"), "y").where(alike).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    out = materialize(_ordered(pairs), "leftover")
+    discard(rows, late, apart_rows, posted, members)
+    return out
 
 
 def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -221,9 +228,11 @@ def link(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     columns are ignored.
     """
     rows, label = labelled(docs, similar)
-    out = rows.select("doc_id", "n", "key").join(label.select("key", "component_id"), "key", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    # Copies share a key, which may be hot; rows without words have none and are joined with nothing.
+    full = join_split(rows.where("n > 0").select("key", "doc_id", "n"), label.select("key", "component_id"), "key", small=0)
+    out = full.select("doc_id", "n", "component_id").union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def labelled(docs: DataFrame, similar: int) -> tuple:
@@ -236,19 +245,22 @@ def labelled(docs: DataFrame, similar: int) -> tuple:
     postings = held.select("key", "n", "weight", F.unhex(F.array_join(F.transform("sig", lambda x: F.lpad(F.substring(F.hex(x), -2, 2), 2, "0")), "")).alias("short"), F.explode("prefix").alias("p")).select("key", "n", "weight", "short", "p.freq", "p.token")
     heavy = postings.where(F.col("freq") > LIGHT)
     hubs = heavy.groupBy("token").agg(F.max(F.struct("weight", "key", "n")).alias("h")).select("token", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = heavy.join(hubs, "token").where((F.col("key") != F.col("hub")) & _sizes_fit("n", "hub_n", similar)).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    stars = join_split(heavy, hubs, "token").where((F.col("key") != F.col("hub")) & _sizes_fit("n", "hub_n", similar)).select(F.col("key").alias("a"), F.col("hub").alias("b"))
     pairs = materialize(_ordered(light_pairs(postings, similar).union(stars)), "pairs")
     named = classes.select("key", "doc_id")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(heavy.select("key")).distinct()
     sets = materialize(full_sets(docs, named.join(wanted, "key", "left_semi")), "sets")
     links = materialize(confirmed(pairs, sets, similar), "links")
     if not heavy.isEmpty():
-        more = materialize(_ordered(leftover_pairs(heavy, hubs, links, sets, similar)), "leftover")
-        links = materialize(links.union(confirmed(more, sets, similar)), "all-links")
+        more = leftover_pairs(heavy, hubs, links, sets, similar)
+        first, links = links, materialize(links.union(confirmed(more, sets, similar)), "all-links")
+        discard(first, more)
     roots = components(links)
     label = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    label = materialize(label, "label")
+    discard(classes, held, pairs, sets, links)
     least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows, label.join(least, "root").select("key", "doc_id", "root", "component_id")
+    return rows, join_split(label, least, "root").select("key", "doc_id", "root", "component_id")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
