@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound, fixed, table, words
+from .common import SPACE, bound, fixed, guarded, table, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -58,12 +58,12 @@ def line_fails(line: Column, p: dict) -> Column:
 def repeat_words(ws: Column) -> Column:
     """Words that lie in an 8-word window found twice or more in the array, the first included.
 
-    Windows are first compared by hash; only where two hashes agree are the
+    Words are hashed once, windows compared by the hash of eight hashes; only where two agree are the
     windows themselves sorted and compared, so the count is exact.
     """
     n = F.size(ws)
     starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+    hashes = bound(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
 
     def exact(placed: Column) -> Column:
         last = F.size(placed)
@@ -86,8 +86,11 @@ def repeat_words(ws: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0)).otherwise(once).cast("long")
 
 
-def judge(docs: DataFrame, **parameters) -> DataFrame:
-    """Adds to each document the base counts, the cleaned text and the verdict.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_bad_lines", "lost_chars", "kept")
+
+
+def judge(docs: DataFrame, clean: bool = True, **parameters) -> DataFrame:
+    """Adds to each document the base counts, the verdict and, if clean, the cleaned text.
 
     Lines are judged first: those that fail a rule of punctuation (symbols,
     shouting, capitals), navigation (separators, menu words) or boilerplate are
@@ -95,44 +98,46 @@ def judge(docs: DataFrame, **parameters) -> DataFrame:
     more than lost_percent of its word characters.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_bad_lines, lost_chars, clean_text and kept. All are computed row by
-    row from the whole text, without a shuffle.
+    base_failed, n_bad_lines, lost_chars, kept and clean_text. All are computed row by
+    row from the whole text, each line once, without a shuffle.
 
     Null text: as empty; no words, so base_failed. Ties and repeated rows: rows
-    as they stand. Empty table: empty result. Other columns stay; those with
-    clashing names are replaced.
+    as they stand. Empty table: empty result. Other columns stay; those with the names of added
+    ones are replaced, inner names clash with none.
     """
     p = DEFAULTS | parameters
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_bad_lines", "lost_chars", "clean_text", "kept")
-    docs = docs.drop(*[c for c in docs.columns if c in added])
+    plain, back = guarded(docs, ("text",))
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = F.regexp_replace(text, f"[{SPACE}]+", "")
     has_word = F.lit(f"[^{SPACE}]")
-    d = fixed(docs, {"_words": words(F.col("text")), "_lines": F.split(text, "\n")})
-    full = F.filter("_lines", lambda x: F.regexp_like(x, has_word))
+    d = fixed(plain, {"words__": words(F.col("text")), "lines__": F.split(text, "\n")})
+    full = F.filter("lines__", lambda x: F.regexp_like(x, has_word))
     d = fixed(
         d,
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size("words__").cast("long"),
             "word_chars": F.char_length(solid).cast("long"),
             "n_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": bound(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": repeat_words(F.col("_words")),
-            "_bad": F.filter("_lines", lambda x: line_fails(x, p)),
+            "n_repeat_words": repeat_words(F.col("words__")),
+            "judged__": F.transform("lines__", lambda x: F.struct(x.alias("line"), line_fails(x, p).alias("bad"))),
         },
     )
-    # Equal lines have equal verdicts, so removing by value removes the failed lines.
-    clean = F.when(F.size("_bad") == 0, text).otherwise(F.array_join(F.filter("_lines", lambda x: ~F.array_contains("_bad", x)), "\n"))
-    lost = F.char_length(F.regexp_replace(F.array_join("_bad", ""), f"[{SPACE}]+", ""))
-    d = fixed(d, {"n_bad_lines": F.size("_bad").cast("long"), "lost_chars": lost.cast("long"), "clean_text": clean})
+    bad = F.filter("judged__", lambda x: x["bad"])
+    held = F.filter("judged__", lambda x: ~x["bad"])
+    lost = bound(bad, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.char_length(F.regexp_replace(F.array_join(F.transform(x, lambda y: y["line"]), ""), f"[{SPACE}]+", "")).cast("long").alias("chars")))
+    d = fixed(d, {"lost__": lost})
+    d = d.withColumn("n_bad_lines", F.col("lost__.n")).withColumn("lost_chars", F.col("lost__.chars"))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= p["lost_percent"] * F.col("word_chars"))
-    return d.withColumn("kept", kept).select(*docs.columns, *added)
+    d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= p["lost_percent"] * F.col("word_chars")))
+    if clean:
+        d = d.withColumn("clean_text", F.when(F.col("n_bad_lines") == 0, text).otherwise(F.array_join(F.transform(held, lambda x: x["line"]), "\n")))
+    return back(d, (*ADDED, "clean_text") if clean else ADDED)
 
 
 def op4_line_quality(spark, sf_dir):
     """Quality rules over every whole document."""
-    out = judge(table(spark, sf_dir, "documents"))
+    out = judge(table(spark, sf_dir, "documents"), clean=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "lost_chars")
 
 

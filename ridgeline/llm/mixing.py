@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import guarded, join_split, materialize, n_words, table
 
 #: Hex digits of the seeded hash that split a source: 4096 parts.
 PART_DIGITS = 3
 
 
-def _with_size(docs: DataFrame, seed: str) -> DataFrame:
-    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return (
-        docs.withColumn("_size", n_words(F.col("text")))
-        .withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-        .withColumn("_hash", hashed)
-        .withColumn("_part", F.substring("_hash", 1, PART_DIGITS))
-    )
+#: Sources up to which their one row each is broadcast.
+FEW_SOURCES = 2000
+
+
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """Adds key__ of the source, hash__ and part__ of the row, and tie__. Rows without an id are told apart by text."""
+    name = F.coalesce(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")), F.concat(F.lit(f"{seed}|?"), F.coalesce("text", F.lit(""))))
+    hashed = F.md5(name.cast("binary"))
+    return docs.select("*", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key__"), hashed.alias("hash__"), F.substring(hashed, 1, PART_DIGITS).alias("part__"), F.xxhash64("text").alias("tie__"))
 
 
 def source_targets(parts: DataFrame, weights: tuple, epochs: int) -> DataFrame:
@@ -30,7 +31,7 @@ def source_targets(parts: DataFrame, weights: tuple, epochs: int) -> DataFrame:
     The windows run over one row a source.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = parts.groupBy("_key").agg(F.first("source").alias("source"), F.sum("part_size").cast("long").alias("source_size"))
+    s = parts.groupBy("key__").agg(F.first("source").alias("source"), F.sum("part_size").cast("long").alias("source_size"))
     s = s.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     s = s.withColumn("weight", F.get(cycle, F.pmod(F.col("_rank") - 1, F.lit(len(weights)))))
     s = s.withColumn("_cap", F.col("source_size") * F.lit(float(epochs))).withColumn("_level", F.col("_cap") / F.col("weight"))
@@ -42,7 +43,32 @@ def source_targets(parts: DataFrame, weights: tuple, epochs: int) -> DataFrame:
     s = s.withColumn("_clamped", F.col("_level") <= F.col("_share"))
     s = s.withColumn("_first", F.min(F.when(~F.col("_clamped"), F.struct("_level", "_rank", "_share"))).over(whole)["_share"])
     target = F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.least(F.col("weight") * F.col("_first"), F.col("_cap")))
-    return s.select("_key", "source_size", "weight", target.alias("target"))
+    return s.select("key__", "source_size", "weight", target.alias("target"))
+
+
+def mixed(keyed: DataFrame, size: Column, weights: tuple, epochs: int) -> DataFrame:
+    """Adds size__, source_size, target, copies and taken to rows with key__, hash__, part__ and tie__; size: an expression over a row."""
+    parts = materialize(keyed.groupBy("key__", "part__").agg(F.first("source").alias("source"), F.sum(size).alias("part_size")), "parts")
+    targets = source_targets(parts, weights, epochs)
+    whole: Column = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    upto = Window.partitionBy("key__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("offset__", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).join(targets, "key__").withColumn("whole__", whole)
+    placed = placed.withColumn("need__", F.col("target") - F.col("whole__") * F.col("source_size"))
+    # In order of the hash a source's rows are taken up to a point: its parts before edge__ wholly, that one in part, the others not.
+    open_part = F.when(F.col("offset__") + F.col("part_size") > F.col("need__"), F.struct("part__", "offset__"))
+    info = placed.groupBy("key__").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "whole__", "need__")], F.min(open_part).alias("edge__"))
+    info = materialize(info.select("key__", "source_size", "target", "whole__", "need__", F.col("edge__.part__").alias("edge__"), F.col("edge__.offset__").alias("offset__")), "sources")
+    rows = keyed.join(F.broadcast(info), "key__") if info.count() <= FEW_SOURCES else join_split(keyed, info, "key__")
+    at_edge = F.coalesce(F.col("part__") == F.col("edge__"), F.lit(False))
+    outside = rows.where(~at_edge).withColumn("size__", size).withColumn("extra__", F.coalesce(F.col("part__") < F.col("edge__"), F.lit(True)))
+    within = Window.partitionBy("key__").orderBy("hash__", "doc_id", "size__", "tie__").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.where(at_edge).withColumn("size__", size).withColumn("before__", F.col("offset__") + F.coalesce(F.sum("size__").over(within), F.lit(0)))
+    inside = inside.withColumn("extra__", 2.0 * F.col("before__") + F.col("size__") < 2.0 * F.col("need__")).drop("before__")
+    out = outside.unionByName(inside).withColumn("copies", F.col("whole__") + F.when(F.col("extra__") & (F.col("size__") > 0), 1).otherwise(0).cast("long"))
+    return out.withColumn("size", F.col("size__")).withColumn("taken", F.col("copies") * F.col("size__"))
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), epochs: int = 3, seed: str = "mix") -> DataFrame:
@@ -52,35 +78,34 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), epochs: int = 3, seed: str
     Sources in order of code points, null last, get the weights in turn. A
     source's whole repetitions go to all its documents; the fractional one goes
     to documents in order of a seeded hash until its words are reached, which
-    misses the target by at most half of one document. Prefix sums are taken in
-    two steps, over 4096 hash parts of a source and within a part, so that no
-    source meets in one task.
-
-    Null text: size 0. Null source: a source of its own. Null or repeated
-    doc_id: repeated rows stay rows of their own. Empty table: empty result.
-    Other columns stay; those with clashing names are replaced by this operator's.
+    misses the target by at most half of one document. Prefix sums are taken over
+    4096 hash parts of a source, and row by row only within the one part where the words are reached:
+    texts of the others are not shuffled, and no source meets in one task.
+
+    Null text: size 0. Null source: a source of its own. Null doc_id: told apart by
+    text. Repeated rows stay rows of their own; of equal ones, as many as are needed are taken.
+    Empty table: empty result. Other columns stay; those with the names of added ones are
+    replaced, inner names clash with none.
     """
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "copies", "taken") or c.startswith("_")]
-    docs = docs.drop(*clash)
-    sized = _with_size(docs, seed)
-    parts = sized.groupBy("_key", "_part").agg(F.first("source").alias("source"), F.sum("_size").alias("part_size"))
-    targets = source_targets(parts, weights, epochs)
-    upto = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("_offset", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).join(targets, "_key").select("_key", "_part", "_offset", "source_size", "target")
-    within = Window.partitionBy("_key", "_part").orderBy("_hash", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(offsets, ["_key", "_part"]).withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    whole: Column = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    extra = 2.0 * F.col("_before") + F.col("_size") < 2.0 * (F.col("target") - F.col("_whole") * F.col("source_size"))
-    out = placed.withColumn("_whole", whole).withColumn("copies", F.col("_whole") + F.when(extra & (F.col("_size") > 0), 1).otherwise(0).cast("long"))
-    return out.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    plain, back = guarded(docs, ("doc_id", "text", "source"))
+    return back(mixed(_keyed(plain, seed), n_words(F.col("text")), weights, epochs), ADDED)
+
+
+def sizes(docs: DataFrame, weights: tuple = (5, 2, 1), epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The same without texts: words are counted once and written with the ids. Columns doc_id and those added."""
+    slim = _keyed(docs.select("doc_id", "text", "source"), seed).select("doc_id", "source", "key__", "hash__", "part__", "tie__", n_words(F.col("text")).alias("n__"))
+    return mixed(materialize(slim, "sizes"), F.col("n__"), weights, epochs).select("doc_id", *ADDED)
 
 
 def repeated(mixed: DataFrame, columns: list) -> DataFrame:
     """The mix itself: every document as many times as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy__")).select(*columns)
+
 
+def op10_mix_sources(spark, sf_dir):
+    """All documents mixed by weights 5, 2, 1 in turn, at most three epochs a source."""
+    return sizes(table(spark, sf_dir, "documents")).drop("copies")
 
-QUERY_COLUMNS = ["doc_id", "size", "source_size", "target", "taken"]
 
 ORACLE = """
 WITH d AS (

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from . import line_quality, mixing, near_dedup, warc_fixity
 from .classifier import op8_quality_classifier
-from .common import table
 from .fingerprints import op1_iblt_fingerprints
 from .license_scan import op7_license_scan
 from .line_quality import op4_line_quality
+from .mixing import op10_mix_sources
 from .near_dedup import op2_minhash_dedup
 from .packing import op3_best_fit_packing
 from .pii import op6_pii_spans
@@ -15,11 +15,6 @@ from .secret_scan import op9_secret_scan
 from .warc_fixity import op5_merkle_fixity
 
 
-def op10_mix_sources(spark, sf_dir):
-    """All documents mixed by weights 5, 2, 1 in turn, at most three epochs a source."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select(*mixing.QUERY_COLUMNS)
-
-
 def queries() -> dict:
     return {
         "op1_iblt_fingerprints": op1_iblt_fingerprints,
