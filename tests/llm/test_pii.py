@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.llm import pii
@@ -51,3 +53,64 @@ def test_method_spans_and_redaction(spark):
         assert "[" in rows[i].clean
     assert not rows[4].all_spans and not rows[5].all_spans
     assert rows[6].clean == "mail [EMAIL] now"
+
+
+def test_trees_as_expressions(spark):
+    model, _ = pii.fitted(spark)
+    rows = pii.examples(n=300, seed=99)
+    x = pii.vectors(spark, rows)
+    held = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "i int, x array<double>")
+    got = np.array([r.p for r in sorted(held.select("i", pii.score(F.col("x"), model).alias("p")).collect())])
+    assert np.allclose(got, model.score(x))
+    assert set(pii.FEATURES) and x.shape[1] == len(pii.FEATURES)
+
+
+def test_fresh_examples_and_look_alikes(spark):
+    for seed in (11, 12, 13):
+        for generator, (precision, recall) in pii.quality(spark, seed).items():
+            assert precision >= 0.93 and recall >= 0.5, (seed, generator, precision, recall)
+    texts = ["Dr. Pepper Cola is cold", "meet at noon dot something", "DE12 3704 0044 0532 0130 00 is no account", "at 12:30:45:00 sharp", "published 12.03.1999", "item 978-3-1614-1848-0"]
+    for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert not r.all_spans, texts[r.doc_id]
+
+
+def plain_scan(candidates, base):
+    """Greedy by score within what overlaps, over all candidates at once."""
+    out = []
+    for p, start, rank, end in sorted((-p, s, r, e) for s, r, e, p in candidates if not any(bs < e and s < be for bs, be in base)):
+        if not any(s < end and start < e for s, _, e in out):
+            out.append((start, rank, end))
+    return sorted(out)
+
+
+def test_overlaps_against_a_plain_scan(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        n, m = rng.choice([(0, 0), (3, 2), (40, 5), (300, 40)])
+        cand = sorted({(s, rng.randrange(4, 10), s + rng.randrange(1, 30), rng.randrange(1000) / 1000) for s in (rng.randrange(3000) for _ in range(n))})
+        base = sorted({(s, 0, s + rng.randrange(1, 40)) for s in (rng.randrange(3000) for _ in range(m))})
+        rows.append((i, [(s, r, "k", e, "x") for s, r, e, _ in cand], [(s, r, "b", e) for s, r, e in base], {f"{s}:{r}:{e}": p for s, r, e, p in cand}))
+    kind = "i int, c array<struct<start:int,rank:int,kind:string,end:int,s:string>>, b array<struct<start:int,rank:int,kind:string,end:int>>, p map<string,double>"
+    d = spark.createDataFrame(rows, kind)
+    d = d.withColumn("c", pii.apart(F.col("b"), F.col("c")))
+    scored = F.transform("c", lambda x: F.struct(*[x[k].alias(k) for k in ("start", "rank", "kind", "end")], F.element_at("p", F.concat_ws(":", x["start"], x["rank"], x["end"])).alias("p")))
+    got = {r.i: sorted((s.start, s.rank, s.end) for s in r.got) for r in d.withColumn("s", scored).select("i", pii.best(F.col("s")).alias("got")).collect()}
+    for i, c, b, p in rows:
+        assert got[i] == plain_scan([(s, r, e, p[f"{s}:{r}:{e}"]) for s, r, _, e, _ in c], [(s, e) for s, _, _, e in b])
+
+
+def test_long_rows_in_little_time(spark):
+    text = "mail a@b.co or (415) 555-0199 " * 10_000
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find(spark.createDataFrame([(1, text[:300])], "doc_id long, text string")).collect()
+    began = time.time()
+    row = pii.find(d).select(F.size("all_spans").alias("n"), pii.redacted(F.col("text"), F.col("all_spans")).alias("t")).head()
+    assert row.n == 20_000 and row.t == "mail [EMAIL] or [NUMBER] " * 10_000
+    assert time.time() - began < 25
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a@b.co", 7, "x", "y", "z")], "doc_id long, text string, n_email int, _pii_email string, email__ string, kept__0 string")
+    r = pii.find(d).head()
+    assert r.n_email == 1 and (r["_pii_email"], r["email__"], r["kept__0"]) == ("x", "y", "z")
