@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Parts of each length over which ranks are counted, so that no length meets in one task.
-RANK_PARTS = 256
+#: Pieces of a part, about, over which the ranks of a length are counted, so that no length meets in one task; and parts, at least.
+RANK_ROWS, RANK_PARTS = 20_000, 64
+#: Ranges of sizes in which the sweeps of a superstep run side by side.
+RANGES = 8
+#: Sequences that are opened at once, of those that the pieces left need at least; all of them where these are few against those open.
+OPENED, FEW = 0.65, 0.03
 
 _MET = re.compile(r"\s\s").search
 
@@ -112,64 +116,92 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sweep(lengths: dict, capacity: int = CAPACITY) -> list:
-    """Bulk-synchronous best fit over runs of equal lengths and equal gaps.
+#: Kinds of runs: pieces of one length (size) and neighbouring ranks (from first on), open gaps of one size in neighbouring
+#: sequences, gaps that a sweep has just used, and placements: pieces from rank first on, per of them in each sequence from sequence on, in gaps of that size.
+PIECES_LEFT, GAPS, USED, PLACED = range(4)
+RUNS = "kind int, size int, first long, count long, length int, per int, sequence long"
 
-    lengths: how many pieces there are of each length. Both sorted lists, pieces
-    and open gaps, are held as runs: at most capacity runs of pieces, and gap
-    runs of neighbouring sequences. One superstep lets the pieces of the
-    longest length left, all at once, find their successor, the smallest gap
-    that holds them; where more pieces than gaps meet, lower ranks win and the
-    rest go on to the next gap. Gaps shrink, and if the shrunken gap is
-    again the successor, the same length goes on. Pieces that find none
-    open sequences. Nothing here depends on the number of pieces but the counts.
 
-    Returns rows (length, first rank, count, first sequence, offset): the pieces of that
-    length and these ranks go, in order, to sequences from the first one on.
+def successors(runs: list) -> list:
+    """One sweep over sorted runs: every gap takes the longest pieces that fit and that no smaller gap has taken.
+
+    Seen from a piece, it goes to its successor, the smallest gap that holds it; where more
+    pieces than gaps meet, the longer win, equal ones by rank, and the others go on to the next
+    gap. A gap takes as many pieces of one length as fit, as it stays the successor of
+    that length until then. Gaps used wait for the next superstep.
+    """
+    out, stack = [], []
+    for kind, size, first, count, *_ in sorted((r for r in runs if r[0] in (PIECES_LEFT, GAPS)), key=lambda r: (r[1], r[0], r[2])):
+        if kind == PIECES_LEFT:
+            stack.append([size, first, count])
+            continue
+        while count and stack:
+            length, rank, left = stack[-1]
+            per = min(size // length, left)
+            used = min(count, left // per)
+            out.append((PLACED, size, rank, used * per, length, per, first))
+            out.append((USED, size - per * length, first, used, 0, 0, 0))
+            first, count = first + used, count - used
+            stack[-1][1:] = rank + used * per, left - used * per
+            if not stack[-1][2]:
+                stack.pop()
+        if count:
+            out.append((GAPS, size, first, count, 0, 0, 0))
+    return [r for r in runs if r[0] in (USED, PLACED)] + out + [(PIECES_LEFT, length, rank, left, 0, 0, 0) for length, rank, left in stack]
+
+
+def _swept(batches):
+    import pyarrow as pa
+
+    rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+    names, kinds = ("kind", "size", "first", "count", "length", "per", "sequence"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    columns = list(zip(*successors(rows))) or [()] * len(names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
+
+
+def superstep(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Range-sorts runs of pieces and gaps, sweeps every range of sizes, then matches what the ranges have left with each other.
+
+    Gaps of a range take its own pieces before those of lower ranges, so sweeping the rest
+    of all ranges afterwards gives what one sweep over all would. Runs are bounded by
+    the capacity and the supersteps, whatever the number of pieces.
     """
-    gaps: dict[int, list] = {}  # gap -> runs (first sequence, count)
-    sizes: list[int] = []  # sorted gaps with runs
-    rows: list[tuple] = []
-    opened = 0
-
-    def put(gap: int, run: tuple) -> None:
-        if gap <= 0:
-            return
-        if gap not in gaps:
-            gaps[gap] = []
-            sizes.insert(bisect_left(sizes, gap), gap)
-        runs = gaps[gap]
-        if runs and runs[-1][0] + runs[-1][1] == run[0]:
-            runs[-1] = (runs[-1][0], runs[-1][1] + run[1])
-        else:
-            runs.append(run)
-
-    for length in sorted((x for x in lengths if lengths[x] > 0), reverse=True):
-        rank, left = 0, lengths[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                many = -(-left // (capacity // length))
-                put(capacity, (opened, many))
-                opened += many
-                continue
-            gap = sizes[at]
-            first, count = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                sizes.pop(at)
-            used = min(count, left)
-            rows.append((length, rank, used, first, capacity - gap))
-            if used < count:
-                put(gap, (first + used, count - used))
-            put(gap - length, (first, used))
-            rank, left = rank + used, left - used
-    return rows
-
-
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds the rank of each piece among those of its length, from 0, in two steps."""
-    parted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int"))
+    held = runs.withColumn("kind", F.when(F.col("kind") == USED, GAPS).otherwise(F.col("kind"))).where(f"kind <> {GAPS} OR size > 0")
+    ranged = held.repartitionByRange(RANGES, "size").mapInArrow(_swept, RUNS)
+    return ranged.repartition(1).mapInArrow(_swept, RUNS)
+
+
+def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Supersteps until all pieces are placed: the runs of kind PLACED. lengths: length, count.
+
+    Each superstep is written; one row of sums reaches the driver, which opens empty sequences when no gap
+    holds the shortest piece left: a share of those that the pieces left would fill, so the
+    longest come first, as in best fit decreasing.
+    """
+    spark = lengths.sparkSession
+    empty = F.lit(0)
+    state = lengths.select(F.lit(PIECES_LEFT).alias("kind"), F.col("length").cast("int").alias("size"), empty.cast("long").alias("first"), F.col("count").cast("long"), empty.alias("length"), empty.alias("per"), empty.cast("long").alias("sequence"))
+    state = materialize(state, "runs0")
+    opened, steps = 0, 0
+    while True:
+        left, gap = F.col("kind") == PIECES_LEFT, F.col("kind").isin(GAPS, USED)
+        now = state.agg(F.sum(F.when(left, F.col("size") * F.col("count"))).alias("tokens"), F.min(F.when(left, F.col("size"))).alias("least"), F.max(F.when(gap, F.col("size"))).alias("most")).head()
+        if not now.tokens:
+            return state.where(F.col("kind") == PLACED)
+        more = state
+        if (now.most or 0) < now.least:
+            need = ceil(now.tokens / capacity)
+            many = need if need <= FEW * opened else ceil(OPENED * need)
+            row = spark.range(1).select(*[F.lit(v).cast(t).alias(c) for c, t, v in (("kind", "int", GAPS), ("size", "int", capacity), ("first", "long", opened), ("count", "long", many), ("length", "int", 0), ("per", "int", 0), ("sequence", "long", 0))])
+            more, opened = state.union(row), opened + many
+        steps += 1
+        last, state = state, materialize(superstep(more, capacity), f"runs{steps}")
+        discard(last)
+
+
+def ranked(pieces: DataFrame, parts: int = RANK_PARTS) -> DataFrame:
+    """Adds the rank of each piece among those of its length, from 0, in two steps; parts: of each length."""
+    parted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     upto = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parted.groupBy("length", "_part").count().withColumn("_offset", F.coalesce(F.sum("count").over(upto), F.lit(0))).drop("count")
     own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
@@ -177,26 +209,27 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Packs all documents into as few sequences as best fit, longest first, needs.
+    """Packs all documents into few sequences by bulk-synchronous best fit.
 
     One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    Pieces are ranked within their length by hash parts; the counts of lengths
-    (at most capacity rows) go to the driver, which sweeps over runs; the plan
-    of runs comes back and each piece looks up its place by length and rank.
-    The number of runs follows the number of lengths, not of documents.
-
-    Null text: the end token alone. Repeated doc_id or rows: packed as often as they
+    Pieces of one length are alike but for their ranks, and neighbouring sequences with equal gaps but for their
+    numbers, so both are sorted and matched as runs: supersteps of range-wise
+    successor sweeps, conflicts resolved by rank, gaps updated, until none is left. Pieces are
+    ranked within their length by hash parts, and each looks up its place by length and
+    rank in the placements, whose number is bounded by the capacity and the
+    supersteps; only they are broadcast.
+
+    Null text: the end token alone. Ties, repeated doc_id or rows: packed as often as they
     stand there. Null doc_id: packed like others. Empty table: empty result.
     Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     pieces = materialize(tokenised_pieces(docs, tokenizer_path or default_tokenizer_path(), capacity, end_id), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    rows = sweep(counts, capacity)
+    plan = placements(pieces.groupBy("length").count(), capacity)
     by: dict[int, list] = {}
-    for length, rank, count, first, offset in rows:
-        by.setdefault(length, []).append((rank, first, offset))
-    plan = spark.sparkContext.broadcast({k: tuple(np.array(c, dtype=np.int64) for c in zip(*v)) for k, v in by.items()})
+    for r in plan.orderBy("length", "first").collect():
+        by.setdefault(r["length"], []).append((r["first"], r["sequence"], r["per"], capacity - r["size"]))
+    held_plan = spark.sparkContext.broadcast({k: tuple(np.array(c, dtype=np.int64) for c in zip(*v)) for k, v in by.items()})
 
     def place(batches):
         import pyarrow as pa
@@ -206,13 +239,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for value in np.unique(length):
                 mine = length == value
-                ranks, firsts, offsets = plan.value[int(value)]
+                ranks, firsts, per, offsets = held_plan.value[int(value)]
                 at = np.searchsorted(ranks, rank[mine], side="right") - 1
-                sequence[mine] = firsts[at] + rank[mine] - ranks[at]
-                offset[mine] = offsets[at]
+                place_in = rank[mine] - ranks[at]
+                sequence[mine] = firsts[at] + place_in // per[at]
+                offset[mine] = offsets[at] + place_in % per[at] * value
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    held = ranked(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast(T.LongType()))
+    parts = max(RANK_PARTS, ceil(pieces.count() / RANK_ROWS))
+    held = ranked(pieces, parts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast(T.LongType()))
     return held.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
