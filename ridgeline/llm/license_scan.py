@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
+from .license_rules import FRAGMENTS, SECTIONS
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -15,164 +16,66 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: Word characters are ASCII digits and letters and all bytes past ASCII.
 _TO_SPACE = bytes(32 if (b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127) else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
-#: Families of licences as label, names (normalised words, as
-#: regular expressions) and versions. Every name and version is a rule of its own.
-FAMILIES = (
-    ("mit", ("mit license", "mit licence", "mit x11 license", "expat license", "x11 license"), ()),
-    ("mit-0", ("mit no attribution", "mit 0"), ()),
-    ("isc", ("isc license", "internet systems consortium license"), ()),
-    ("apache", ("apache license", "apache software license", "apache licence", "asl"), ("1 0", "1 1", "2 0", "2")),
-    ("gpl", ("gnu general public license", "general public license", "gnu gpl", "gpl"), ("1 0", "2 0", "3 0", "2", "3", "1")),
-    ("lgpl", ("gnu lesser general public license", "lesser general public license", "gnu library general public license", "library general public license", "gnu lgpl", "lgpl"), ("2 0", "2 1", "3 0", "2", "3")),
-    ("agpl", ("gnu affero general public license", "affero general public license", "gnu agpl", "agpl"), ("1 0", "3 0", "3")),
-    ("gfdl", ("gnu free documentation license", "free documentation license", "gfdl"), ("1 1", "1 2", "1 3")),
-    ("bsd", ("bsd license", "bsd licence", "bsd style license", "berkeley software distribution license"), ()),
-    ("bsd-2-clause", ("bsd 2 clause", "2 clause bsd", "two clause bsd", "simplified bsd license", "freebsd license"), ()),
-    ("bsd-3-clause", ("bsd 3 clause", "3 clause bsd", "three clause bsd", "new bsd license", "modified bsd license", "revised bsd license"), ()),
-    ("bsd-4-clause", ("bsd 4 clause", "4 clause bsd", "original bsd license"), ()),
-    ("mpl", ("mozilla public license", "mpl"), ("1 0", "1 1", "2 0")),
-    ("epl", ("eclipse public license", "epl"), ("1 0", "2 0")),
-    ("edl", ("eclipse distribution license",), ("1 0",)),
-    ("cpl", ("common public license",), ("0 5", "1 0")),
-    ("cddl", ("common development and distribution license", "cddl"), ("1 0", "1 1")),
-    ("eupl", ("european union public licence", "european union public license", "eupl"), ("1 0", "1 1", "1 2")),
-    ("artistic", ("artistic license", "clarified artistic license"), ("1 0", "2 0")),
-    ("zlib", ("zlib license", "zlib libpng license", "libpng license"), ()),
-    ("boost", ("boost software license", "bsl"), ("1 0",)),
-    ("unlicense", ("the unlicense", "unlicense"), ()),
-    ("wtfpl", ("do what the fuck you want to public license", "wtfpl"), ("1 0", "2 0")),
-    ("cc0", ("cc0", "creative commons zero", "public domain dedication"), ("1 0",)),
-    ("cc-by", ("cc by", "creative commons attribution"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("odbl", ("open database license", "odbl"), ("1 0",)),
-    ("odc-by", ("open data commons attribution license", "odc by"), ("1 0",)),
-    ("pddl", ("open data commons public domain dedication and license", "pddl"), ("1 0",)),
-    ("ofl", ("sil open font license", "open font license"), ("1 0", "1 1")),
-    ("psf", ("python software foundation license", "psf license"), ("2", "2 0")),
-    ("python", ("python license", "cnri python license"), ("2 0",)),
-    ("php", ("php license",), ("3 0", "3 01")),
-    ("ruby", ("ruby license",), ()),
-    ("postgresql", ("postgresql license",), ()),
-    ("openssl", ("openssl license", "ssleay license"), ()),
-    ("curl", ("curl license",), ()),
-    ("ncsa", ("university of illinois ncsa open source license", "ncsa open source license"), ()),
-    ("academic-free", ("academic free license",), ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("open-software", ("open software license",), ("1 0", "2 0", "2 1", "3 0")),
-    ("ms-pl", ("microsoft public license", "ms pl"), ()),
-    ("ms-rl", ("microsoft reciprocal license", "ms rl"), ()),
-    ("upl", ("universal permissive license",), ("1 0",)),
-    ("mulan", ("mulan permissive software license", "mulan psl"), ("1", "2")),
-    ("cecill", ("cecill free software license", "cecill b", "cecill c", "cecill"), ("1 0", "1 1", "2 0", "2 1")),
-    ("elastic", ("elastic license",), ("1 0", "2 0")),
-    ("sspl", ("server side public license", "sspl"), ("1", "1 0")),
-    ("busl", ("business source license", "busl"), ("1 1",)),
-    ("openrail", ("responsible ai license", "openrail m", "openrail"), ()),
-    ("proprietary", ("all rights reserved", "proprietary license", "proprietary and confidential", "no part of this work may be reproduced"), ()),
-    ("public-domain", ("dedicated to the public domain", "released into the public domain", "in the public domain"), ()),
-)
-
-#: SPDX ids and short names by family, where its names above lack them.
-#: Most are common words, so they count only in identifiers and in what is stated to be under them.
-SHORT = {
-    "mit": ("mit", "x11", "expat"), "isc": ("isc",), "apache": ("apache", "apache2"), "gpl": ("gplv1", "gplv2", "gplv3"), "lgpl": ("lgplv2", "lgplv3"), "agpl": ("agplv3",),
-    "gfdl": ("gnu fdl",), "bsd": ("bsd",), "edl": ("edl",), "cpl": ("cpl",), "artistic": ("artistic", "clartistic"), "zlib": ("zlib", "libpng"),
-    "boost": ("boost",), "odbl": ("open database",), "ofl": ("ofl", "sil ofl"), "psf": ("psf",), "python": ("python", "cnri python"), "php": ("php",), "ruby": ("ruby",),
-    "postgresql": ("postgresql",), "openssl": ("openssl", "ssleay"), "curl": ("curl",), "ncsa": ("ncsa",), "academic-free": ("afl",), "open-software": ("osl",),
-    "upl": ("upl",), "mulan": ("mulanpsl",), "elastic": ("elastic",),
-}
-
-#: Sentences of licence texts.
-SENTENCES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors"),
-    ("apache", "you may obtain a copy of the license at http www apache org licenses"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
-    ("cc-by", "to view a copy of this license visit http creativecommons org licenses by"),
-)
-
-#: Ways to state a licence, tried in this order; the score of a rule falls with it.
-#: Short names (one word) count only inside a statement.
-_STATED = (
-    ("identifier", r"spdx license identifier {name}(?: v)?(?: {version})?(?: only| or later)?", 0.99),
-    ("statement", r"(?:licensed|released|distributed|available|published|provided|covered) (?:\S+ ){{0,3}}?(?:under|by|with) (?:\S+ ){{0,6}}?{name}(?: license| licence)?(?: v| version)* {version}", 0.95),
-    ("versioned", r"{name}(?: license| licence)?(?: v| version)* {version}", 0.9),
-    ("plain statement", r"(?:licensed|released|distributed|available|published|provided|covered) (?:\S+ ){{0,3}}?(?:under|by|with) (?:\S+ ){{0,6}}?{name}", 0.85),
-    ("name", r"{name}", 0.7),
-)
-#: The same for the short names of SHORT, as (way above, form): a version follows or none does.
-_SHORT_STATED = (
-    (0, r"spdx license identifier {name}(?: v)?(?: \d+(?: \d+)?)?(?: only| or later)?"),
-    (3, r"(?:licensed|released|distributed|available|published|provided|covered) (?:\S+ ){{0,3}}?under (?:\S+ ){{0,6}}?{name}(?: license| licence)?(?:(?: v| version)* \d+(?: \d+)?)?"),
-)
-
-
 class Rule:
-    """priority: lower goes first; keyword: a word without which it can't match."""
+    """priority: lower goes first; keywords: words of which a text must have one."""
 
-    __slots__ = ("label", "keyword", "pattern", "priority", "score")
+    __slots__ = ("label", "keywords", "pattern", "priority", "score")
 
-    def __init__(self, label: str, keyword: str, pattern: str, priority: int, score: float):
-        self.label, self.keyword, self.priority, self.score = label, keyword, priority, score
+    def __init__(self, label: str, keywords: str, pattern: str, priority: int, score: float):
+        self.label, self.keywords, self.priority, self.score = label, keywords.split(), priority, score
         self.pattern = re.compile(rf"(?<= )(?:{pattern})(?= )")
 
 
 def rules() -> list:
-    """All rules, in order of priority: sentences, then the ways above, each with SHORT last, longer names before shorter."""
-    out = [Rule(label, max(re.findall(r"[a-z]{4,}", text), key=len), text, 0, 1.0) for label, text in SENTENCES]
-    for way, (kind, form, score) in enumerate(_STATED):
-        for label, names, versions in FAMILIES:
-            for name, version in product(names, versions or ("",)):
-                if ("{version} " in form + " " or kind == "versioned") and kind in ("statement", "versioned") and not version:
-                    continue
-                if kind in ("plain statement", "name", "identifier") and version and version != versions[0]:
-                    continue  # one rule for all versions
-                if kind == "name" and " " not in name:
-                    continue
-                written = form.format(name=name, version=version if kind in ("statement", "versioned") else r"\d+(?: \d+)?")
-                out.append(Rule(label, max(name.split(), key=len), written, way + 1, score))
-    for way, form in _SHORT_STATED:
-        for label, names in SHORT.items():
-            for name in names:
-                out.append(Rule(label, "spdx" if way == 0 else max(name.split(), key=len), form.format(name=name), way + 1.5, _STATED[way][2]))
-    return sorted(out, key=lambda r: (r.priority, -len(r.pattern.pattern)))
+    """All rules in order of priority: sections from sure to vague, each as written."""
+    out: list = []
+    for _, score, lines in SECTIONS:
+        for line in lines.strip().split("\n"):
+            label, keywords, pattern = line.split(" | ")
+            for name, fragment in FRAGMENTS.items():
+                pattern = pattern.replace("{" + name + "}", fragment)
+            out.append(Rule(label, keywords, pattern.replace("{{", "{").replace("}}", "}"), len(out), score))
+    return out
+
+
+def standing(found: list) -> list:
+    """Matches (start, end, priority, ...) that lie inside no match of a higher priority, in order.
+
+    What a suppressed match contains, its suppressor contains, so each is held only against all
+    matches of higher priority: in order of starts, the least priority among ends at least as far, from a tree of minima.
+    """
+    ends = sorted({m[1] for m in found})
+    rank = {e: len(ends) - i for i, e in enumerate(ends)}
+    least = [len(found) + 10**9] * (len(ends) + 1)
+    out = []
+    for m in sorted(found, key=lambda m: (m[0], -m[1], m[2])):
+        i, best = rank[m[1]], m[2]
+        while i:
+            best, i = min(best, least[i]), i - (i & -i)
+        if best >= m[2]:
+            out.append(m)
+        i = rank[m[1]]
+        while i < len(least):
+            least[i], i = min(least[i], m[2]), i + (i & -i)
+    return sorted(out)
 
 
 class Scanner:
-    """The rules by keyword; a document tries only those whose keyword is among its words."""
+    """The rules by keyword; a document tries only those that have a keyword among its words."""
 
     def __init__(self):
         self.rules = rules()
         self.by_word: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.by_word.setdefault(r.keyword, []).append(i)
+            for word in r.keywords:
+                self.by_word.setdefault(word, []).append(i)
         self.keywords = frozenset(self.by_word)
 
     def detect(self, padded: str) -> list:
-        """(start, end, label, score) left after suppression, in order; padded: normalised words between single spaces."""
+        """(start, end, priority, label, score) left after suppression, in order; padded: normalised words between single spaces."""
         words = self.keywords.intersection(padded.split(" "))
-        if not words:
-            return []
-        held: list = []
-        for i in sorted(i for w in words for i in self.by_word[w]):
-            rule = self.rules[i]
-            for m in rule.pattern.finditer(padded):
-                a, b = m.span()
-                # Earlier rules win; a match inside one that stands adds nothing.
-                if not any(a >= x and b <= y for x, y, _, _ in held):
-                    held.append((a, b, rule.label, rule.score))
-        return sorted(held)
+        chosen = sorted({i for w in words for i in self.by_word[w]})
+        return standing([(*m.span(), i, self.rules[i].label, self.rules[i].score) for i in chosen for m in self.rules[i].pattern.finditer(padded)])
 
 
 def normalised(text: str) -> tuple:
@@ -182,16 +85,24 @@ def normalised(text: str) -> tuple:
 
 
 def base_places(padded: str) -> list:
-    """(index of the first word, label) of every place of a base phrase."""
+    """(place in the string, label) of every place of a base phrase."""
     out = []
     for phrase, label in BASE:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            out.append((at, label))
             at = padded.find(f" {phrase} ", at + 1)
     return out
 
 
+def word_index(padded: str, places: list) -> list:
+    """The number of spaces before each place, from one pass over the text."""
+    if not places:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+    return np.searchsorted(spaces, places).tolist()
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long, detections string"
 _SCANNERS: list = []
 
@@ -218,10 +129,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_places(padded)
                 found = scanner.detect(padded)
                 labels = {label for _, label in base}
-                starts = [i for i, _ in base]
-                score = max([s for _, _, _, s in found] + [0.7] * bool(base), default=0.0)
-                placed = ",".join(f"{label}:{padded.count(' ', 0, a) - 1}:{padded.count(' ', 0, b)}" for a, b, label, _ in found)
-                row = [doc.as_py(), n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[2] for x in found})), score, len(found), placed]
+                starts = word_index(padded, [i for i, _ in base])
+                score = max([x[4] for x in found] + [0.7] * bool(base), default=0.0)
+                first, last = word_index(padded, [x[0] for x in found]), word_index(padded, [x[1] for x in found])
+                placed = ",".join(f"{x[3]}:{a - 1}:{b}" for x, a, b in zip(found, first, last))
+                row = [doc.as_py(), n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[3] for x in found})), score, len(found), placed]
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
