@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, **pa
     """Fits to labelled rows outside the held-out third, at most max_rows of them.
 
     The sample is a number of ids, so it is broadcast to the documents, and only
-    their statistics reach the driver. Repeated labels of a document are averaged.
+    the statistics of each reach the driver, once an id. Repeated labels of a document are averaged. Null labels and ids: not
+    used. No documents or no labels: a model that scores one half everywhere.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
     usable = usable.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("quality"))
@@ -144,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, **pa
     if not rows:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
     ids = docs.sparkSession.createDataFrame([(d,) for d, _ in rows], "doc_id long")
-    held = _statistics_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).collect()
+    held = _statistics_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    # One row an id reaches the driver, however often the id stands in the documents: its least statistics.
+    held = held.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
     quality = dict(rows)
-    held.sort(key=lambda r: (r.doc_id, list(r.x)))
     return train(np.array([r.x for r in held]).reshape(-1, len(FEATURES)), np.array([quality[r.doc_id] for r in held]), **parameters)
 
 

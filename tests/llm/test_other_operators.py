@@ -1,6 +1,7 @@
 """Mixing, archives, licences, secrets and the classifier against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -69,7 +70,7 @@ def test_fixity(spark):
     for r in sorted((r for r in clean if r.file == 0), key=lambda r: r.position):
         assert r.start == at
         at += r.length
-    broken = records.selectExpr("page_id", "file", "CASE WHEN page_id IN (17, 299, 1700) THEN replace(record, 'response', 'responsf') ELSE record END AS record")
+    broken = records.selectExpr("page_id", "file", "CASE WHEN page_id IN (17, 299, 1700) THEN replace(record, 'resource', 'resourcf') ELSE record END AS record")
     assert {r.page_id for r in warc_fixity.audit(records, broken).where("NOT intact").collect()} == {17, 299, 1700}
     short = warc_fixity.audit(records, records.where("page_id IS NULL OR page_id <> 1700")).where("NOT intact").collect()
     assert [r.page_id for r in short] == [1700] and short[0].replica_digest is None
@@ -80,7 +81,7 @@ def test_fixity(spark):
 
 def test_record_hash(spark):
     r = warc_fixity.leaves(warc_fixity.archive(spark.createDataFrame([(3, "u", "<é>")], "page_id long, url string, html string"))).head()
-    want = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:3>\r\nWARC-Target-URI: u\r\nContent-Length: 4\r\n\r\n<é>\r\n\r\n"
+    want = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:3>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: 4\r\n\r\n<é>\r\n\r\n"
     assert r.digest == hashlib.sha256(want.encode()).hexdigest() and r.length == len(want.encode())
 
 
@@ -162,3 +163,76 @@ def test_classifier(spark):
     assert {r.doc_id for r in held} >= {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert np.mean([r.predicted == int(bool(r.doc_id % 3)) for r in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+# ---- archives, read and written
+
+
+def test_archives_round_trip_and_insertions(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", "é?" * i if i % 5 else None) for i in range(-3, 40)] + [(None, None, None), (None, "u", "no id"), (7, "again", "x")]
+    records = warc_fixity.archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    warc_fixity.write_warc(records, str(tmp_path / "warc"))
+    back = warc_fixity.read_warc(spark, str(tmp_path / "warc"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, back.select("page_id", "file", "record").collect()), key=key) == sorted(map(tuple, records.select("page_id", "file", "record").collect()), key=key)
+    files = {r.file for r in records.where("page_id IS NULL").collect()}
+    assert not files & {r.file for r in records.where("page_id IS NOT NULL").collect()}
+    audited = warc_fixity.audit(records, back).collect()
+    assert len(audited) == len(pages) and all(r.intact and not r.moved for r in audited)
+    more = records.union(warc_fixity.archive(spark.createDataFrame([(20, "new", "inserted")], "page_id long, url string, html string")))
+    rows = warc_fixity.audit(records.where("page_id >= 0"), more.where("page_id >= 0")).collect()
+    assert all(r.intact or r.moved or r.digest is None for r in rows) and sum(r.moved for r in rows) >= 19
+
+
+# ---- trees
+
+
+def test_traversal_against_a_plain_walk():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    model = classifier.train(x, y, trees=40, depth=3)
+    for row, score in zip(x[:100], model.score(x[:100])):
+        total = model.prior
+        for tree in range(len(model.value)):
+            node = 0
+            while node < 2**model.depth - 1:
+                node = 2 * node + (2 if row[model.feature[tree, node]] > model.threshold[tree, node] else 1)
+            total += model.value[tree, node - (2**model.depth - 1)]
+        assert abs(1 / (1 + math.exp(-total)) - score) < 1e-12
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_classifier_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "a b c", 5), (1, "other text", 5), (None, None, 5), (2, "", 5), (3, "x " * 9000, 5)], "doc_id long, text string, score int")
+    assert classifier.classify(none, classifier.fit(none, labels)).count() == 0
+    assert {r.score for r in classifier.classify(docs, classifier.fit(docs, labels)).collect()} == {0.5}
+    some = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    rows = classifier.classify(docs, classifier.fit(docs, some)).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+# ---- novelty
+
+
+def test_novelty_against_plain_sizes(spark):
+    import zstandard
+
+    held = zstandard.ZstdCompressionDict(secret_scan.PRIME.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstandard.ZstdCompressor(level=3, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress(t.encode()))
+    texts = ['secretKey = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"', "password: getElementByIdgetElementById", "plain prose Zx81kLm9QpT77vN2c4R8 here", "token=Zx81kLm9QpT77vN2c4R8"]
+    novelty = secret_scan.Novelty()
+    for t in texts:
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.~-]{16,}", t):
+            before, after = t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]
+            score = (size(before + " " + after + " " + m[0]) - size(before + " " + after)) / len(m[0])
+            context = before + m[0].partition("=")[0] if "=" in m[0] else before
+            if secret_scan.sensitive(context) and score >= secret_scan.NOVELTY and secret_scan.entropy(m[0]) >= secret_scan.ENTROPY:
+                want.append((m.start(), m.end(), score))
+        assert secret_scan.novel_spans(t, novelty) == want
+    assert [bool(secret_scan.novel_spans(t, novelty)) for t in texts] == [True, False, False, True]
+    d = spark.createDataFrame([(1, texts[0], "x"), (None, None, "y")], "doc_id long, text string, spans string")
+    assert [(r.n_novel, r.doc_id) for r in sorted(secret_scan.scan(d).collect(), key=lambda r: str(r.doc_id))] == [(1, 1), (0, None)]
