@@ -82,3 +82,39 @@ def test_pipeline(spark, tmp_path):
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+
+
+EXTRA = ("size", "n_ip", "_x", "_words", "_pii_x", "kept", "key__", "kept__0", "copies", "_key", "clean_text")
+
+
+def test_stages_with_clashes_nulls_and_repeats(spark):
+    """Every stage but the last returns the columns it got, with the values of extra ones; null and repeated ids lose no text."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randrange(2, 9)))
+    text = lambda: " ".join(word() for _ in range(40)) + "."
+    rows = [(i, t, s) for i, t, s in ((None, text(), "a"), (None, text(), None), (4, text(), "a"), (4, text(), "b"), (5, None, None), (6, "", "a"), (7, text() + " a@b.co", "b"), (8, " ".join([text()] + [word() for _ in range(9000)]), "c"))]
+    rows += [(9, rows[2][1], "c"), (10, rows[2][1] + " more", "c")]
+    schema = "doc_id long, text string, source string, lang string, n_chars int, " + ", ".join(f"{c} string" for c in EXTRA)
+    docs = spark.createDataFrame([(d, t, s, None, None, *[f"{c}{i}" for c in EXTRA]) for i, (d, t, s) in enumerate(rows)], schema)
+    kept = [r for r in rows if r[1]]
+    unique = [r for r in kept if r[0] not in (9, 10)]
+    want = {
+        "quality_rules": sorted(t for _, t, _ in kept),
+        "near_duplicates": sorted(t or "" for _, t, _ in [*unique, *rows[4:6]]),
+        "redact": sorted((t or "").replace("a@b.co", "[EMAIL]") for _, t, _ in rows),
+    }
+    for name in ("quality_rules", "near_duplicates", "redact", "mix_sources"):
+        stage = getattr(corpus_pipeline, name)
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        by_extra = {f"size{i}": r for i, r in enumerate(rows)}
+        assert all(r["size"] in by_extra and r["doc_id"] == by_extra[r["size"]][0] and all(r[c] == c + r["size"][4:] for c in EXTRA) for r in got), name
+        if name in want:
+            assert sorted(r.text or "" for r in got) == want[name], name
+        if name in ("quality_rules", "redact"):
+            assert all(r.n_chars == len(r.text) for r in got)
+        assert stage(spark, docs.where("false"), "").count() == 0
+    pieces = corpus_pipeline.best_fit(spark, docs, "").collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows)
+    assert corpus_pipeline.best_fit(spark, docs.where("false"), "").count() == 0
