@@ -13,8 +13,10 @@ from ..functions.text import keyword_match, norm_phrase, role_group, seconds
 
 #: Named periods as fractions of the duration.
 PERIODS = {
-    "start": (0.0, 0.1), "beginning": (0.0, 0.2), "early": (0.0, 0.33), "first_half": (0.0, 0.5), "middle": (0.33, 0.67), "mid": (0.33, 0.67),
-    "second_half": (0.5, 1.0), "late": (0.67, 1.0), "end": (0.8, 1.0), "ending": (0.9, 1.0), "whole": (0.0, 1.0),
+    "beginning": (0, 0.1), "end": (0.9, 1),
+    "first_half": (0, 0.5), "second_half": (0.5, 1),
+    "first_third": (0, 1 / 3), "middle_third": (1 / 3, 2 / 3), "last_third": (2 / 3, 1),
+    "first_quarter": (0, 0.25), "second_quarter": (0.25, 0.5), "third_quarter": (0.5, 0.75), "last_quarter": (0.75, 1),
 }
 KINDS = ("event", "state", "attribute", "text", "speech")
 SORTS = ("relevance", "time_asc", "time_desc")
@@ -31,7 +33,7 @@ def resolve_time(duration: float, start=None, end=None, around=None, tolerance=1
     if seconds(end) is not None:
         high.append(seconds(end))
     if seconds(around) is not None:
-        low.append(seconds(around) - (tolerance or 15))
+        low.append(max(0, seconds(around) - (tolerance or 15)))
         high.append(seconds(around) + (tolerance or 15))
     if period in PERIODS:
         a, b = PERIODS[period]
@@ -124,8 +126,13 @@ def fact_key() -> list:
 
 
 def paged(facts: DataFrame, q: Search) -> DataFrame:
-    """Sorted and cut to the page; null times go last upwards and count as 0 downwards."""
+    """Sorted and cut to the page; null times go last upwards and count as 0 downwards.
+
+    relevance: by the column sim, the best first, then by time; where there is no such column, as there is no query, by time.
+    """
     order = [F.coalesce("t0", F.lit(0)).desc(), F.col("fact_id").asc()] if q.sort == "time_desc" else [F.col("t0").asc_nulls_last(), F.col("fact_id").asc()]
+    if q.sort == "relevance" and "sim" in facts.columns:
+        order = [F.col("sim").desc_nulls_last(), *order]
     return facts.orderBy(*order).offset(q.offset).limit(q.limit)
 
 

@@ -173,7 +173,7 @@ def content_digest(spark, sf_dir):
 
 
 def neutralized_ids(spark, sf_dir):
-    prefix = F.when(F.col("kind") == "event", "video:").otherwise("clip:")
+    prefix = F.element_at(F.create_map(*[F.lit(v) for v in ("event", "video:", "state", "name-mention:", "attribute", "packet:", "text", "association: ")]), F.col("kind"))
     return facts(spark, sf_dir).select("fact_id", neutral_id(F.concat(prefix, F.col("agent"))).alias("neutral"))
 
 
@@ -196,12 +196,12 @@ SELECT DISTINCT event, role, fact FROM e JOIN o USING (d, owner)"""),
 o AS (SELECT fact_id AS fact, win // 24 AS d, agent AS owner FROM facts_v WHERE kind = 'attribute' UNION ALL SELECT fact_id, win // 24, object FROM facts_v WHERE kind = 'attribute'),
 p AS (SELECT DISTINCT event, role, fact FROM e JOIN o USING (d, owner)), g AS (SELECT event, count(*) AS n, array_to_string(list_sort(list(DISTINCT fact)), ',') AS facts FROM p GROUP BY 1)
 SELECT event, n, substr(sha256(event || ',' || facts), 1, 20) AS bundle FROM g"""),
-    ("tracklets", tracklets, f"WITH {BOXES} SELECT instance, count(*) AS sightings, array_to_string(list_sort(list(DISTINCT frame)), ',') AS frames FROM boxes_v WHERE frame % 10 = 0 GROUP BY 1"),
+    ("tracklets", tracklets, f"WITH {BOXES} SELECT instance, count(*) AS sightings, array_to_string(list_sort(list(DISTINCT frame)), ',') AS frames FROM boxes_v GROUP BY 1"),
     ("registry_top_regions", registry_top_regions, f"WITH {BOXES}, a AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM boxes_v) SELECT instance, rank, area, frame FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY area DESC, frame, line, part) AS rank FROM a) WHERE rank <= 3"),
     ("instance_extent", instance_extent, f"WITH {BOXES} SELECT instance, min(frame) AS first, max(frame) AS last, count(DISTINCT frame) AS frames FROM boxes_v GROUP BY 1"),
     ("iou_pairs", iou_pairs, f"""WITH {BOXES}, b AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM boxes_v WHERE (x2 - x1) * (y2 - y1) >= 10000),
 p AS (SELECT a.instance AS instance_a, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS common, a.area + b.area AS total FROM b a JOIN b ON a.frame = b.frame AND a.instance < b.instance)
-SELECT instance_a, count(*) AS pairs, CAST(sum(common) AS BIGINT) AS common, CAST(sum(total - common) AS BIGINT) AS together FROM p WHERE 10 * common < total - common GROUP BY 1"""),
+SELECT instance_a, count(*) AS pairs, CAST(sum(common) AS BIGINT) AS common, CAST(sum(total - common) AS BIGINT) AS together FROM p WHERE 2 * common < total - common GROUP BY 1"""),
     ("shared_box_audit", shared_box_audit, f"WITH {BOXES} SELECT frame, x1, y1, x2, y2, count(*) AS n, min(instance) AS first, max(instance) AS last FROM boxes_v GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1"),
     ("box_flags", box_flags, f"""WITH {BOXES}, g AS (SELECT part, count(*) AS n, count(DISTINCT (x1, y1, x2, y2)) AS kinds, max((x2 - x1) * (y2 - y1)) AS largest FROM boxes_v GROUP BY 1),
 f AS (SELECT part, concat_ws(',', CASE WHEN n >= 2 AND kinds = 1 THEN 'copied_boxes' END, CASE WHEN largest > 140000 THEN 'whole_frame_box' END) AS flags FROM g) SELECT * FROM f WHERE flags <> ''"""),
@@ -222,7 +222,7 @@ f AS (SELECT part, concat_ws(',', CASE WHEN n >= 2 AND kinds = 1 THEN 'copied_bo
     ("dangling_references", dangling_references, "SELECT 'customer of orders' AS reference, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order of lines', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
     ("duplicate_ids", duplicate_ids, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
     ("content_digest", content_digest, f"""WITH {FACTS} SELECT fact_id, sha256('["' || agent || '","' || object || '","' || predicate || '"]') AS digest FROM facts_v"""),
-    ("neutralized_ids", neutralized_ids, f"""WITH {FACTS} SELECT fact_id, CASE WHEN kind = 'event' THEN 'id:' || substr(sha256('"video:' || agent || '"'), 1, 24) ELSE 'clip:' || agent END AS neutral FROM facts_v"""),
+    ("neutralized_ids", neutralized_ids, f"""WITH {FACTS} SELECT fact_id, CASE kind WHEN 'event' THEN 'id:' || substr(sha256('"video:' || agent || '"'), 1, 24) WHEN 'state' THEN 'id:' || substr(sha256('"name-mention:' || agent || '"'), 1, 24) WHEN 'attribute' THEN 'packet:' || agent ELSE 'association: ' || agent END AS neutral FROM facts_v"""),
     ("ledger_chain_check", ledger_chain_check, f"""WITH {FACTS}, p AS (SELECT agent, fact_id, row_number() OVER (PARTITION BY agent ORDER BY t0, fact_id) AS sequence FROM facts_v)
 SELECT agent, sequence, 'payload' AS fault FROM p WHERE sequence % 50 = 7"""),
 ]

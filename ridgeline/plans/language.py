@@ -122,37 +122,41 @@ def name_registry(spark, sf_dir):
 
 
 def caption_name_match(spark, sf_dir):
-    """Captions that state the name of the nation they are about."""
+    """Captions about a nation in several forms: which of them state its name as a person's."""
     n = read(spark, sf_dir, "nation")
-    caption = F.concat(F.lit("This is "), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lit("nobody")), F.lit("."))
-    escaped = F.regexp_replace("n_name", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return n.select("n_nationkey", F.regexp_like(caption, F.concat(F.lit(r"(?i)\bis "), escaped, F.lit(r"\b"))).alias("named"))
+    name = F.col("n_name")
+    forms = [F.concat(F.lit("her name tag reads \""), name, F.lit("\"")), F.concat(F.lit("someone named "), F.lower(name), F.lit(" waves")), F.concat(F.lit("this is "), name, F.lit(".")), F.concat(F.lit("named "), name, F.lit("-like")), F.concat(F.lit("identified as '"), name, F.lit("' twice"))]
+    caption = F.element_at(F.array(*forms), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return n.select("n_nationkey", text.states_name(caption, name).alias("named"))
 
 
 def verdict_contradictions(spark, sf_dir):
-    """Reviews whose words deny what their verdict says."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.lit("clearly a different person")).when(F.col("item_id") % 3 == 1, F.lit("the same person, no doubt")).otherwise(F.col("text")).alias("reason"), F.when(F.col("item_id") % 2 == 0, F.lit("supported")).otherwise(F.lit("contradicted")).alias("verdict"))
-    deny = F.when((F.col("verdict") == "supported") & F.col("reason").rlike(r"(?i)\bdifferent\b"), "denies").when((F.col("verdict") == "contradicted") & F.col("reason").rlike(r"(?i)\bsame\b"), "affirms").otherwise("agrees")
-    return b.select("item_id", deny.alias("finding"))
+    """Reviews whose reasons contradict their verdicts, and what they say."""
+    b = read(spark, sf_dir, "benchmark")
+    reasons = ("clearly a different person", "they are the same, no doubt", "not the same, though the same person was there", "same child", "different people", "a different car")
+    reason = F.element_at(F.array(*[F.lit(r) for r in reasons], F.col("text")), (F.col("item_id") % 7 + 1).cast("int"))
+    verdict = F.when(F.col("item_id") % 2 == 0, "same").otherwise("different")
+    return b.select("item_id", F.coalesce(text.contradicted(verdict, reason), F.lit("")).alias("finding"))
 
 
-_TOKENS = f"WITH {UTTERANCES}, every AS (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS token FROM utterances_v), tok AS (SELECT DISTINCT token FROM every WHERE regexp_matches(token, '^[A-Z][a-z]{{3,}}$'))"
-_STOP = "('that', 'this', 'with', 'from', 'have', 'they', 'there', 'then', 'were', 'what', 'when')"
+_STOP = """('about', 'after', 'again', 'also', 'back', 'been', 'before', 'being', 'does', 'doing', 'done', 'from', 'going', 'gonna', 'have', 'here', 'into', 'just', 'like', 'little', 'make', 'more', 'much',
+  'really', 'right', 'some', 'that', 'them', 'then', 'there', 'these', 'they', 'this', 'those', 'very', 'want', 'what', 'when', 'where', 'which', 'while', 'will', 'with', 'your')"""
 
 QUERIES = [
     ("alignment_terms", alignment_terms, f"""WITH {UTTERANCES}, w AS (SELECT utterance_id, unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS w FROM utterances_v),
 k AS (SELECT DISTINCT utterance_id, CASE WHEN length(w) > 4 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM w WHERE length(w) >= 4 AND w NOT IN {_STOP})
 SELECT utterance_id, coalesce(array_to_string(list_sort(list(k.w) FILTER (k.w IS NOT NULL)), ' '), '') AS terms FROM utterances_v LEFT JOIN k USING (utterance_id) GROUP BY 1"""),
     ("phonetic_key", phonetic_key, None),
-    ("fuzzy_spelling", fuzzy_spelling, _TOKENS + ", p AS (SELECT a.token, b.token AS other, levenshtein(a.token, b.token) AS distance FROM tok a JOIN tok b ON a.token[1] = b.token[1] AND length(a.token) = length(b.token) AND a.token <> b.token) SELECT token, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, other) AS r FROM p) WHERE r = 1 AND distance <= 2"),
+    ("fuzzy_spelling", fuzzy_spelling, None),
     ("identifiers", identifiers, None),
     ("parsed_times", parsed_times, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3600.0::DOUBLE + (doc_id % 60) * 60 + 5 WHEN doc_id % 3 = 1 THEN (doc_id % 60) * 60 + 30.5::DOUBLE END AS seconds, ((doc_id * 7) // 60) || ':' || lpad(CAST((doc_id * 7) % 60 AS VARCHAR), 2, '0') || '.0' AS shown FROM documents"),
-    ("norm_phrases", norm_phrases, "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'"),
+    ("norm_phrases", norm_phrases, "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents"),
     ("person_name_shape", person_name_shape, "WITH c AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'Anna Lee ' || c_mktsegment ELSE c_name END AS name FROM customer) SELECT key, name, length(name) <= 48 AND regexp_matches(name, '^\\p{L}+([''’-]\\p{L}+)*( \\p{L}+([''’-]\\p{L}+)*){0,3}$') AS is_name FROM c"),
     ("retrieval_text", retrieval_text, "SELECT p_partkey, substr(p_name || CASE WHEN p_size > 25 THEN '' ELSE ' ; ' || p_brand END || ' ; ' || p_type, 1, 40) AS text FROM part"),
     ("embedding_cache_misses", embedding_cache_misses, "WITH d AS (SELECT doc_id, sha1(text) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d WHERE key NOT IN (SELECT key FROM d WHERE doc_id % 3 = 0) GROUP BY 1"),
     ("named_mentions", named_mentions, None),
     ("name_registry", name_registry, f"WITH {UTTERANCES}, n AS (SELECT speaker, regexp_extract(text, '^([A-Za-z]+)', 1) AS name FROM utterances_v) SELECT speaker, min(name) AS name, count(*) AS mentions FROM n WHERE name <> '' GROUP BY 1 HAVING count(DISTINCT lower(name)) = 1"),
-    ("caption_name_match", caption_name_match, "SELECT n_nationkey, n_nationkey % 2 = 0 AS named FROM nation"),
-    ("verdict_contradictions", verdict_contradictions, "SELECT item_id, CASE WHEN item_id % 2 = 0 AND (item_id % 3 = 0 OR (item_id % 3 = 2 AND regexp_matches(text, '(?i)\\bdifferent\\b'))) THEN 'denies' WHEN item_id % 2 = 1 AND (item_id % 3 = 1 OR (item_id % 3 = 2 AND regexp_matches(text, '(?i)\\bsame\\b'))) THEN 'affirms' ELSE 'agrees' END AS finding FROM benchmark"),
+    ("caption_name_match", caption_name_match, "SELECT n_nationkey, n_nationkey % 5 IN (0, 1, 4) AS named FROM nation"),
+    ("verdict_contradictions", verdict_contradictions, """SELECT item_id, CASE WHEN item_id % 2 = 0 AND (item_id % 7 IN (0, 2, 4) OR (item_id % 7 = 6 AND d AND NOT s)) THEN 'different' WHEN item_id % 2 = 1 AND (item_id % 7 IN (1, 3) OR (item_id % 7 = 6 AND s AND NOT d)) THEN 'same' ELSE '' END AS finding
+FROM (SELECT item_id, regexp_matches(lower(text), 'different (person|people|individual|individuals|woman|man)([^a-z]|$)|not the same') AS d, NOT contains(lower(text), 'not the same') AND regexp_matches(lower(text), '(is|are) the same|same (person|woman|man|individual|girl|boy|child)([^a-z]|$)') AS s FROM benchmark)"""),
 ]

@@ -19,7 +19,7 @@ _COLUMNS = ["fact_id", "kind", "predicate", "agent", "object", "t0", "win", "mul
 
 
 def _found(spark, sf_dir, q: Search):
-    return search.search(facts(spark, sf_dir), q).select(*_COLUMNS)
+    return search.search(facts(spark, sf_dir, q), q).select(*_COLUMNS)
 
 
 def _sql(where: str, order: str, limit: int, offset: int = 0) -> str:
@@ -79,15 +79,15 @@ def search_cjk_substring(spark, sf_dir):
 
 
 def search_period_segment(spark, sf_dir):
-    """The middle of a run of 30 days, cut with the second of three parts."""
-    low, high = search.resolve_time(30 * 86400.0, period="middle", segment="2/3", start="96:00:00")
+    """The middle third of a run of 30 days, cut with the second of three parts."""
+    low, high = search.resolve_time(30 * 86400.0, period="middle_third", segment="2/3", start="96:00:00")
     return _found(spark, sf_dir, Search(kinds=("event",), start=START + int(low * 1e6), end=START + int(high * 1e6), limit=50))
 
 
 def resolve_time_bounds(spark, sf_dir):
     """Bounds of named periods over the duration of the table, as columns of one aggregate."""
     d = facts(spark, sf_dir).agg(((F.max("t1") - F.min("t0")) / F.lit(1e6)).alias("duration"))
-    rows = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, (a, b) in search.PERIODS.items()])
+    rows = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for p, (a, b) in search.PERIODS.items()])
     return d.select("duration", F.inline(rows)).select("period", F.round(F.col("duration") * F.col("a"), 3).alias("low"), F.round(F.col("duration") * F.col("b"), 3).alias("high"))
 
 
@@ -202,7 +202,7 @@ QUERIES = [
     ("search_phrase_or_terms", search_phrase_or_terms, "SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])general\\s+public') AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])licens') AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(rights|version|released)')"),
     ("search_cjk_substring", search_cjk_substring, "SELECT doc_id, '红色汽车 ' || lang AS text FROM documents WHERE doc_id % 7 = 0 AND regexp_matches(lang, '^(en|de)')"),
     ("search_period_segment", search_period_segment, _sql(f"kind = 'event' AND t1 >= {START + int(10 * 86400 * 1e6)} AND t0 <= {START + int(20 * 86400 * 1e6)}", "t0, fact_id", 50)),
-    ("resolve_time_bounds", resolve_time_bounds, f"WITH {FACTS}, d AS (SELECT (max(t1) - min(t0)) / 1e6::DOUBLE AS duration FROM facts_v), p(period, a, b) AS (VALUES {', '.join(f'({p!r}, {a}::DOUBLE, {b}::DOUBLE)' for p, (a, b) in search.PERIODS.items())}) SELECT period, round(duration * a, 3) AS low, round(duration * b, 3) AS high FROM d, p"),
+    ("resolve_time_bounds", resolve_time_bounds, f"WITH {FACTS}, d AS (SELECT (max(t1) - min(t0)) / 1e6::DOUBLE AS duration FROM facts_v), p(period, a, b) AS (VALUES ('beginning', 0::DOUBLE, 0.1::DOUBLE), ('end', 0.9, 1), ('first_half', 0, 0.5), ('second_half', 0.5, 1), ('first_third', 0, 1::DOUBLE / 3), ('middle_third', 1::DOUBLE / 3, 2::DOUBLE / 3), ('last_third', 2::DOUBLE / 3, 1), ('first_quarter', 0, 0.25), ('second_quarter', 0.25, 0.5), ('third_quarter', 0.5, 0.75), ('last_quarter', 0.75, 1)) SELECT period, round(duration * a, 3) AS low, round(duration * b, 3) AS high FROM d, p"),
     ("search_vector_topk", search_vector_topk, _SIM + "SELECT vec_id, round(sim, 5) AS sim FROM s ORDER BY s.sim DESC, vec_id LIMIT 10"),
     ("search_vector_relative_cut", search_vector_relative_cut, _SIM + "SELECT vec_id, label FROM s WHERE vec_id <> 0 AND sim >= (SELECT max(sim) FROM s WHERE vec_id <> 0) - 0.15"),
     ("dedup_within_window", dedup_within_window, f"WITH {FACTS} SELECT fact_id, win, predicate, agent, multiplicity FROM (SELECT *, count(*) OVER (PARTITION BY win, predicate, agent) AS multiplicity, row_number() OVER (PARTITION BY win, predicate, agent ORDER BY t0, fact_id) AS n FROM facts_v) WHERE n = 1"),
@@ -219,7 +219,7 @@ SELECT facet, item, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY face
     ("entity_top_predicates", entity_top_predicates, f"WITH {FACTS}, {ROLES}, g AS (SELECT entity, predicate, count(*) AS n, min(struct_pack(t := t0, f := fact_id)) AS seen FROM roles_v GROUP BY 1, 2) SELECT entity, predicate, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, seen, predicate) AS rank FROM g) WHERE rank <= 3"),
     ("entity_kind_majority", entity_kind_majority, f"WITH {FACTS}, {ROLES}, g AS (SELECT entity, kind, count(*) AS n, min(struct_pack(t := t0, f := fact_id)) AS seen FROM roles_v GROUP BY 1, 2) SELECT entity, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, seen) AS rank FROM g) WHERE rank = 1"),
     ("entity_compare", entity_compare, f"WITH {FACTS}, {ROLES} SELECT win FROM roles_v WHERE entity = 'P1' INTERSECT SELECT win FROM roles_v WHERE entity = 'O2'"),
-    ("window_records", window_records, f"WITH {FACTS} SELECT win, row_number() OVER (PARTITION BY win ORDER BY t0, fact_id) AS rank, fact_id, kind FROM facts_v WHERE win < {BASE + 48}"),
+    ("window_records", window_records, f"WITH {FACTS} SELECT win, row_number() OVER (PARTITION BY win ORDER BY t0, fact_id) AS rank, fact_id, kind FROM facts_v"),
     ("expand_window", expand_window, _expand_sql("")),
     ("expand_participants", expand_participants, _expand_sql("AND (agent = a OR object = o)")),
     ("expand_closure", expand_closure, _expand_sql("AND (agent = a OR object = o) AND kind IN ('text', 'state', 'attribute')")),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,38 @@ def micros(column: str):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as facts: one agent, one object, a point in time, an hour as window."""
+#: Event types by the kind of fact they stand for; all others are texts.
+KIND_OF = {"click": "event", "purchase": "event", "view": "state", "signup": "attribute"}
+
+
+def _at(micros: float, up: bool):
+    """A whole microsecond as a zone-less timestamp literal, for bounds on the column itself."""
+    whole = math.ceil(micros) if up else math.floor(micros)
+    return F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=whole))).cast("timestamp_ntz")
+
+
+def scanned(e: DataFrame, q) -> DataFrame:
+    """events with what a search asks of ids, kinds, windows and times as conditions on the columns of the file, so that the scan can skip."""
+    if q.ids:
+        numbers = [int(i[1:]) for i in q.ids if re.fullmatch(r"F[0-9]{1,18}", i)]
+        e = e.where(F.col("event_id").isin(*numbers))
+    if q.kinds and "text" not in q.kinds:
+        e = e.where(F.col("event_type").isin(*[t for t, k in KIND_OF.items() if k in q.kinds]))
+    starts = [q.start] if q.start is not None else []
+    ends = [q.end] if q.end is not None else []
+    if q.windows:
+        starts, ends = [*starts, min(q.windows) * HOUR], [*ends, (max(q.windows) + 1) * HOUR]
+    if starts:
+        e = e.where(F.col("ts") >= _at(max(starts), True))
+    if ends:
+        e = e.where(F.col("ts") <= _at(min(ends), False))
+    return e
+
+
+def facts(spark: SparkSession, sf_dir: str, q=None) -> DataFrame:
+    """events as facts: one agent, one object, a point in time, an hour as window; q: a search whose scan conditions go to the file."""
     e = read(spark, sf_dir, "events")
+    e = e if q is None else scanned(e, q)
     kind = F.when(F.col("event_type").isin("click", "purchase"), "event").when(F.col("event_type") == "view", "state").when(F.col("event_type") == "signup", "attribute").otherwise("text")
     out = e.select(
         F.concat(F.lit("F"), F.col("event_id").cast("string")).alias("fact_id"), kind.alias("kind"), F.col("event_type").alias("predicate"),
@@ -93,10 +126,17 @@ links_v AS (SELECT agent || '@' || day || '>' || next_day AS proposal_id, agent
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labels as answered questions in paired units."""
+    """labels as answered questions in paired units: neighbours by doc_id, numbered over 256 ranges of ids and within each."""
     from pyspark.sql import Window
 
-    numbered = read(spark, sf_dir, "labels").withColumn("n", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    held = read(spark, sf_dir, "labels")
+    ends = held.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).head()
+    low, high = ends.low or 0, ends.high or 0
+    part = F.floor((F.col("doc_id") - low) * 256 / max(1, high - low + 1))
+    held = held.withColumn("part", part)
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.groupBy("part").agg(F.count("*").alias("rows")).select("part", before.alias("start"))
+    numbered = held.join(F.broadcast(starts), "part").withColumn("n", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
     unit = F.floor(F.col("n") / 2).cast("long")
     pairs = numbered.withColumn("unit", unit).withColumn("held", F.count("*").over(Window.partitionBy("unit"))).where("held = 2")
     return pairs.select(F.col("doc_id").alias("question_id"), "unit", F.concat(F.lit("R"), (F.col("doc_id") % 8).cast("string")).alias("binding_type"), F.col("quality").cast("int").alias("correct"))

@@ -30,7 +30,7 @@ def test_times(spark):
     assert values(spark, text.parse_time, ["1:02:03", "01:30.5", "x", None, "", "42"]) == [3723.0, 90.5, None, None, None, 42.0]
     assert [text.seconds(v) for v in ("1:02:03", "01:30.5", "x", None, 7)] == [3723.0, 90.5, None, None, 7.0]
     assert values(spark, text.mmss, [3723.0, None], "double") == ["62:03.0", "?"]
-    assert search.resolve_time(100, period="middle", segment="2/3") == pytest.approx((100 / 3, 200 / 3), abs=0.4)
+    assert search.resolve_time(100, period="middle_third", segment="2/3") == pytest.approx((100 / 3, 200 / 3), abs=0.4)
     assert search.resolve_time(100, around=50, tolerance=0) == (35, 65)
     assert search.resolve_time(100, period="unheard", segment="4/3") == (None, None)
 

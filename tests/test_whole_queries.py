@@ -18,11 +18,12 @@ def run(spark, tmp_path, name, table, rows, schema):
 
 def test_identifiers_of_whole_texts(spark, tmp_path):
     filler = "plain words go on and on. " * 20
-    rows = [(1, "number 5", "en"), (2, filler + "vest No. 77 and # 8", "en"), (3, filler * 40 + "number 0009" + filler + "#9 no 10", "de"), (None, filler + "no. 4", "en"), (4, None, None)]
+    rows = [(1, "number 5", "en"), (2, filler + "vest No. 77, # 6, bib#8 and Racer # 08", "en"), (3, filler * 40 + "number 0009" + filler + "#9 no 10", "de"), (None, filler + "no. 4", "en"), (4, None, None)]
     got = run(spark, tmp_path, "identifiers", "documents", rows, DOCUMENTS)
     want = []
     for doc, text, _ in rows:
-        found = re.findall(r"(?:number|no\.?|#)\s*([0-9]+)", f"vest No. 0{'' if doc is None else doc} and number 007, # 12 {text or ''}".lower(), re.ASCII)
+        found = re.findall(r"(?:number|vest|bib|jersey|player|contestant|racer)\s*#?\s*(\d+)|\b#\s*(\d+)|no\.?\s*(\d+)", f"vest No. 0{'' if doc is None else doc} and number 007, # 12 {text or ''}", re.ASCII | re.I)
+        found = ["".join(groups) for groups in found]
         want.append((doc, ",".join(dict.fromkeys(n.lstrip("0") or "0" for n in found))))
     assert sorted(map(str, ((r.doc_id, r.ids) for r in got))) == sorted(map(str, want))
     assert next(r.ids for r in got if r.doc_id == 2).endswith(",77,8")
