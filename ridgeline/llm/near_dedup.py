@@ -5,13 +5,13 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.components import components
 from . import shingles
-from .common import discard, join_split, materialize, table, trimmed
+from .common import bound, discard, join_split, materialize, table, trimmed
 
 #: Percent of the union that the intersection must reach: in op 2, and in a stage over word shingles.
 SIMILAR = 85
@@ -145,6 +145,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("_both", both).where(100 * F.col("_both") >= similar * (F.col("na") + F.col("nb") - F.col("_both"))).select("a", "b")
 
 
+#: Bits of the bitmaps that bound how many elements two sets share.
+BITS = 1024
+
+
+def bits(xs: Column) -> Column:
+    """A bitmap of a set of hashes, as an array of longs."""
+    at = F.transform(xs, lambda x: F.pmod(x, F.lit(BITS)).cast("int"))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    return bound(at, lambda p: F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.aggregate(F.filter(p, lambda i: F.floor(i / 64) == w), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(one((i % 64).cast("int"))))))
+
+
+def only(a: str, b: str) -> Column:
+    """Bits of one bitmap that the other lacks: at least so many elements of the one set are not in the other."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -198,9 +214,12 @@ def leftover_pairs(heavy: DataFrame, hubs: DataFrame, links: DataFrame, sets: Da
     post_x = members.where("x = 1").select("hub", "key", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p"), "label").select("hub", "key", "label", "p.e")
     post_y = members.where("y = 1").select("hub", "key", F.explode("es").alias("p"), "label").select("hub", "key", "label", "p.e")
 
-    # First the pairs that meet anywhere, each once; only then the differences themselves, one of each side for a pair.
-    post_x, post_y = (p.select("hub", "e", F.col("key").alias(f"key_{side}"), F.col("label").alias(f"label_{side}")) for p, side in ((post_x, "x"), (post_y, "y")))
-    meet = post_x.join(post_y, ["hub", "e"]).where("label_x <> label_y").select("hub", "key_x", "key_y").distinct()
+    # First the pairs that meet anywhere and that their bitmaps, of fixed size, allow to be alike, each once; only then the differences themselves.
+    brief = members.select("hub", "key", "n", F.size("d").alias("size"), bits(F.col("d")).alias("bits"))
+    post_x, post_y = (p.join(brief, ["hub", "key"]).select("hub", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "n", "size", "bits")]) for p, side in ((post_x, "x"), (post_y, "y")))
+    most = F.least(F.col("size_x") - only("bits_x", "bits_y"), F.col("size_y") - only("bits_y", "bits_x"))
+    near_enough = 2 * whole * most >= whole * (F.col("size_x") + F.col("size_y")) - apart_most * (F.col("n_x") + F.col("n_y"))
+    meet = post_x.join(post_y, ["hub", "e"]).where((F.col("label_x") != F.col("label_y")) & near_enough).select("hub", "key_x", "key_y").distinct()
 
     def with_sets(pairs: DataFrame, side: str) -> DataFrame:
         held = members.select("hub", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "n", "d")])

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import near_dedup
 from tests.llm.test_near_dedup import shingle_set
@@ -59,3 +60,19 @@ def test_rows_with_null_or_repeated_ids(spark):
     of_b = [r for r in words if r[0] is None and r[1].startswith(b)]
     assert len(of_b) == 1
     assert sorted((r for r in words if r not in of_b), key=str) == sorted([(None, a), (7, c), (7, d), (3, e), (9, f), (4, g)], key=str)
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    """size - only() is never less than the intersection, and exact for small sets that don't collide."""
+    rng = random.Random(5)
+    pairs = []
+    for n in (0, 1, 5, 60, 900):
+        pool = [rng.randrange(-(2**63), 2**63) for _ in range(2 * n + 1)]
+        pairs += [(rng.sample(pool, n), rng.sample(pool, n // 2 + 1)) for _ in range(8)]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<long>, b array<long>")
+    d = d.withColumn("x", near_dedup.bits(F.col("a"))).withColumn("y", near_dedup.bits(F.col("b")))
+    for r in d.select("i", (F.size("a") - near_dedup.only("x", "y")).alias("most")).collect():
+        a, b = pairs[r.i]
+        assert r.most >= len(set(a) & set(b))
+        if len({x % 1024 for x in a + b}) == len(set(a + b)):
+            assert r.most == len(set(a) & set(b))
