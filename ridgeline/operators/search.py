@@ -114,6 +114,22 @@ def condition(q: Search) -> Column:
     return out
 
 
+def _flag(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(False))
+
+
+def pool(facts: DataFrame, q: Search, include_dropped: bool = False) -> DataFrame:
+    """The facts a search ranges over: never quarantined ones; dropped ones only where asked for, or by id. Null flags are false."""
+    held = facts.where(condition(q) & ~_flag("quarantined"))
+    return held if include_dropped or q.ids else held.where(~_flag("dropped"))
+
+
+def left_out(facts: DataFrame, q: Search, include_dropped: bool = False) -> DataFrame:
+    """One row: how many facts that meet the conditions are left out as dropped, and as quarantined."""
+    dropped = F.lit(not (include_dropped or q.ids)) & _flag("dropped") & ~_flag("quarantined")
+    return facts.where(condition(q)).agg(F.count_if(dropped).alias("dropped"), F.count_if(_flag("quarantined")).alias("quarantined"))
+
+
 def deduplicated(facts: DataFrame, key: list, order: list) -> DataFrame:
     """The first row of each key in that order, with the number of rows as multiplicity. Null windows are one key."""
     w = Window.partitionBy(*key)

@@ -6,9 +6,9 @@ operator can't be put in it.
 
 from __future__ import annotations
 
-from . import auditing, evaluation, evidence, language, linking, retrieval, streams, submissions
+from . import auditing, evaluation, evidence, language, linking, projecting, retrieval, streams, submissions
 
-_MODULES = (retrieval, evidence, linking, auditing, language, evaluation, streams, submissions)
+_MODULES = (retrieval, evidence, linking, auditing, language, evaluation, streams, submissions, projecting)
 
 
 def _rows() -> list:
