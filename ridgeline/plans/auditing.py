@@ -24,8 +24,7 @@ def name_jersey_candidates(spark, sf_dir):
     m = f.where("kind = 'state'").select("object", F.col("fact_id").alias("mention"), F.col("t0").alias("t_left"), F.floor(F.col("win") / 24).alias("day"))
     j = f.where("kind = 'attribute'").select("object", F.col("fact_id").alias("jersey"), F.col("t0").alias("t_right"))
     n = f.where("predicate = 'purchase'").groupBy("object", F.floor(F.col("win") / 24).alias("day")).agg(F.count("*").alias("events"))
-    near = reviews.near_in_time(m.join(n, ["object", "day"], "left"), j, ["object"], 48 * HOUR)
-    return reviews.candidate_status(near, "mention", "jersey", "events")
+    return reviews.nearby_status(m.join(n, ["object", "day"], "left"), j, ["object"], 48 * HOUR, "mention", "jersey", "events")
 
 
 def review_gates(spark, sf_dir):
